@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, simhash, token_counts
+from . import audio_features, decontaminate, html_extract, language_id, mixing, secret_scan, simhash, token_counts
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,7 +77,43 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", token_counts.over_limit("n_tokens", 512))
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = audio_features.audio_features(table(spark, sf_dir, "documents"))
+    payload = audio_features.wav_payload("media")
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -audio_features.PAD, audio_features.PAD)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(
+            ":",
+            F.size("segments"),
+            F.round(F.expr("aggregate(segments, 0D, (t, s) -> t + s.end_s - s.start_s)"), 2),
+            F.sha2("tensors", 256),
+        ).alias("feature"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.word_tokens(), repetition=4.0, block_tokens=1_000_000)
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
+    text = html_extract.extract_main_text(pages, "page")
+    return text.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_simhash, op7_decontaminate, op9_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_audio_features, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op9_token_counts, op10_html_extract)
 }
 ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}
