@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bounds of the batches that travel between the JVM and Python workers.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,14 +47,16 @@ def map_batches(
 ) -> DataFrame:
     """Run ``make()`` once per task and its result on each Arrow batch of the partition.
 
-    Spark bounds a batch by rows and bytes, so memory does not grow with a partition.
+    Batches are held to ``BATCH_BYTES`` (or one row) and ``BATCH_ROWS``, so neither the JVM's buffers nor
+    the worker's grow with a partition or with the length of texts.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from step(batch)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                yield from step(batch.slice(start, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 
