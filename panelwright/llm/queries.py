@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, decontaminate, html_extract, language_id, mixing, secret_scan, simhash, token_counts
+from . import audio_features, decontaminate, html_extract, language_id, license_scan, mixing, passages, secret_scan, simhash, token_counts
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).select(
+        F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "a_start", "a_end", "b_start", "b_end", "n_equal", F.round("identity", 4).alias("identity")
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -72,6 +78,19 @@ from w left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    names = F.transform("found", lambda x: x["license"])
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_blocks"),
+        F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("licenses"),
+        F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",").alias("spans"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["saving"])), F.lit(0.0)).alias("best_saving"),
+        F.array_join(F.flatten(F.transform("found", lambda x: x["differences"])), "; ").alias("differences"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"), TOKENIZER, keep_steps=False)
     return counts.withColumn("over_limit", token_counts.over_limit("n_tokens", 512))
@@ -114,6 +133,6 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_audio_features, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op9_token_counts, op10_html_extract)
+    f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_passages, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op8_license_scan, op9_token_counts, op10_html_extract)
 }
 ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}

@@ -22,8 +22,9 @@ links kept have the same connected components as all links, so no class is lost
 
 Defined results: null or wordless text has fingerprint 0 and links like any other; a text of fewer than
 three words has its whole sequence as its one shingle; ties of a bit's vote leave it 0; exact copies
-share a fingerprint and so a class; repeated rows are kept; an empty table gives an empty result; other
-columns are ignored by the operator and kept by ``drop_near_duplicates``.
+share a fingerprint and so a class; repeated rows are kept; rows with a null id take no part in linking
+and get the class of their fingerprint, or null; an empty table gives an empty result; other columns are
+ignored by the operator and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -191,14 +192,23 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     if distance % 2:
         raise ValueError("distance must be even: the exact way for crowded buckets meets at balls of half of it")
     docs = cut_lineage(fingerprints(df, id_col, text_col, width))
-    distinct = cut_lineage(docs.groupBy("fp").agg(F.min("id").alias("node")))
+    distinct = cut_lineage(docs.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
     classes = components(links(distinct, distance, parts, crowded))
     of_fp = distinct.join(classes, "node", "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component"))
-    return docs.join(of_fp.hint("merge"), docs["fp"] == of_fp["of"]).select(F.col("id").alias(id_col), "fp", "component")
+    return docs.join(of_fp.hint("merge"), docs["fp"] == of_fp["of"], "left").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class stays: that with the class's smallest id (all columns kept)."""
-    classes = near_duplicate_classes(df, id_col, text_col, **options)
-    keep = classes.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    return df.join(keep, id_col, "left_semi")
+    """One row of each class stays: that with the class's smallest id (all columns kept).
+
+    Rows repeated under one id are one document and leave one row (the least by its columns' hash). Rows with a null id
+    cannot be told apart and all stay.
+    """
+    classes = cut_lineage(near_duplicate_classes(df, id_col, text_col, **options).select(F.col(id_col).alias("gone"), "component"))
+    dropped = classes.where("gone <> component").select("gone").distinct()
+    kept = df.join(dropped.hint("merge"), df[id_col] == dropped["gone"], "left_anti")
+    if classes.where("gone is not null").groupBy("gone").count().where("count > 1").isEmpty():
+        return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    once = kept.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.xxhash64(whole).alias("order"), whole.alias("row")).groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return once.unionByName(kept.where(F.col(id_col).isNull()))
