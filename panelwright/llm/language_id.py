@@ -39,7 +39,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words(text: str) -> list[str]:
     """Lower-case runs of letters."""
     found = _WORD.findall(text.lower())
-    return found if text.isascii() else [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in found]
+    if not found or "".join(found).isalpha():
+        return found
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in found]
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -56,7 +58,7 @@ class Model:
     rows: np.ndarray  # log frequencies, one row per word or n-gram
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 20_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 10_000, max_words: int = 30_000, max_grams: int = 15_000) -> Model:
     """Count words and n-grams of the sample on Spark and bring the most frequent ones to the driver."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -65,24 +67,33 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     part = min(1.0, max_rows / max(total, 1))
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(np.ceil(part * 1_000_000)))
 
-    def make():
+    def count_words():
         def step(batch):
-            counts: dict[tuple[str, int], Counter] = {}
+            counts: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in Counter(words(text)).items():
-                    if word:
-                        counts.setdefault((lang, 0), Counter())[word] += n
-                        for order in ORDERS:
-                            for gram in grams(word, order):
-                                counts.setdefault((lang, order), Counter())[gram] += n
-            rows = [(lang, order, gram, n) for (lang, order), c in counts.items() for gram, n in c.items()]
+                counts.setdefault(lang, Counter()).update(words(text))
+            rows = [(lang, word, n) for lang, c in counts.items() for word, n in c.items() if word]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+
+        return step
+
+    def count_grams():
+        def step(batch):
+            counts: Counter = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[lang, 0, word] += n
+                for order in ORDERS:
+                    for gram in grams(word, order):
+                        counts[lang, order, gram] += n
+            columns = [*zip(*counts, strict=True), counts.values()] if counts else [[]] * 4
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "kind", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["lang", "kind", "gram", "n"])
 
         return step
 
-    counted = map_batches(sample.select("text", "lang"), make, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    per_word = map_batches(sample.select("text", "lang"), count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = map_batches(per_word, count_grams, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", "kind")
     ranked = counted.withColumn("total", F.sum("n").over(by)).withColumn("distinct", F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "gram")))
     top = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("rank").toPandas()
@@ -108,54 +119,67 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 
 class Scorer:
-    """Scores texts in one worker; unseen words' rows are appended and dropped when ``CACHE`` of them are held."""
+    """Scores texts in one worker; unseen words' rows are appended and dropped when over ``CACHE`` of them are held."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, len(model.rows)
-        size = (self.known + CACHE, max(1, len(model.languages)))
-        self.log = np.zeros(size)
-        self.log[: self.known] = model.rows
-        self.share = np.zeros(size)
-        self.share[: self.known] = self._softmax(model.rows)
-        self.unseen: dict[str, int] = {}
+        self.log, self.share = model.rows, self._softmax(model.rows)
+        self.index = dict(model.words)
 
     @staticmethod
     def _softmax(rows: np.ndarray) -> np.ndarray:
-        e = np.exp(rows - rows.max(axis=-1, keepdims=True)) if rows.size else rows
-        return e / e.sum(axis=-1, keepdims=True) if rows.size else rows
-
-    def _backoff(self, word: str) -> int:
-        if (at := self.unseen.get(word)) is None:
-            if len(self.unseen) >= CACHE:
-                self.unseen.clear()
-            at = self.unseen[word] = self.known + len(self.unseen)
-            row = np.zeros(len(self.model.languages))
+        if not rows.size:
+            return rows
+        e = np.exp(rows - rows.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def _learn(self, unseen: list[str]) -> None:
+        """Append the back-off rows of unseen words."""
+        if len(self.log) - self.known + len(unseen) > CACHE:
+            self.log, self.share, self.index = self.log[: self.known], self.share[: self.known], dict(self.model.words)
+        found, sizes = [], []
+        for word in unseen:
+            before = len(found)
             for order, table in zip(ORDERS, self.model.grams, strict=True):
-                if found := [i for g in grams(word, order) if (i := table.get(g)) is not None]:
-                    row = self.log[found].mean(axis=0)
+                found += [i for g in grams(word, order) if (i := table.get(g)) is not None]
+                if len(found) > before:
                     break
-            self.log[at], self.share[at] = row, self._softmax(row)
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words(text)) if text else {}
-        counts.pop("", None)
-        if not counts or not self.model.languages:
-            return UND, 0.0
-        get, total = self.model.words.get, np.zeros(self.log.shape[1])
-        share, n = np.zeros(self.log.shape[1]), 0
-        items = list(counts.items())
-        for k in range(0, len(items), CACHE // 2):  # in parts, so that remembered rows hold while they are used
-            part = items[k : k + CACHE // 2]
-            if len(self.unseen) + len(part) > CACHE:
-                self.unseen.clear()
-            at = [i if (i := get(w)) is not None else self._backoff(w) for w, _ in part]
-            times = np.array([c for _, c in part], float)
-            total += times @ self.log[at]
-            share += times @ self.share[at]
-            n += int(times.sum())
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(min(1.0, share[best] / n))
+            sizes.append(len(found) - before)
+        size = np.array(sizes)
+        sums = np.zeros((len(unseen) + 1, len(self.model.languages)))
+        np.add.at(sums, np.repeat(np.arange(len(unseen)), size), self.model.rows[found]) if len(found) < 64 else None
+        if len(found) >= 64:
+            running = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(self.model.rows[found], axis=0)))
+            ends = np.cumsum(size)
+            sums[:-1] = running[ends] - running[ends - size]
+        rows = sums[:-1] / np.maximum(size, 1)[:, None]
+        for k, word in enumerate(unseen):
+            self.index[word] = len(self.log) + k
+        self.log = np.concatenate((self.log, rows))
+        self.share = np.concatenate((self.share, self._softmax(rows)))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for text in texts:
+            counts = Counter(words(text)) if text else {}
+            counts.pop("", None)
+            out.append(counts)
+        if not self.model.languages:
+            return [(UND, 0.0)] * len(texts)
+        if unseen := set().union(*out) - self.index.keys():
+            self._learn(sorted(unseen))
+            if not all(w in self.index for c in out for w in c):  # the table was emptied: learn what else these texts have
+                self._learn(sorted(set().union(*out) - self.index.keys()))
+        get = self.index.__getitem__
+        result = []
+        for counts in out:
+            if not counts:
+                result.append((UND, 0.0))
+                continue
+            at, times = np.fromiter(map(get, counts), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+            best = int(np.argmax(times @ self.log[at]))
+            result.append((self.model.languages[best], float(min(1.0, times @ self.share[at, best] / times.sum()))))
+        return result
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +191,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         score = Scorer(sent.value).predict
 
         def step(batch):
-            found = [score(t) for t in batch.column(1).to_pylist()]
+            found = score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["id", "lang_pred", "score"]
             )
