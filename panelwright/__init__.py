@@ -1,0 +1 @@
+"""Point-in-time factor analytics on Spark."""
