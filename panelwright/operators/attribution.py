@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import by_symbol, lag
+from ..functions.expressions import by_symbol, change, lag
 from ..functions.factors import DAILY, Bars, add_factors, market_cap
 from ..functions.normal import t_two_sided
 
@@ -34,6 +34,7 @@ def tercile_long_short(panel: DataFrame, scores: dict[str, str]) -> DataFrame:
 
 def factor_returns(panel: DataFrame, bars: Bars = DAILY) -> DataFrame:
     """(date, seq, MKT, UMD[, SMB, HML, RMW, CMA]): the latter where the panel holds fundamentals."""
+    panel = panel if "ret" in panel.columns else panel.withColumn("ret", change("close"))
     names = ["UMD"] + (["SMB", "HML", "RMW", "CMA"] if "common_equity" in panel.columns else [])
     wanted = [SORTS[n][0] for n in names if SORTS[n][0] != "_cap"]
     scored = add_factors(panel, *wanted, bars=bars)
@@ -66,7 +67,7 @@ def ols(data: DataFrame, y: str, xs: list[str]) -> dict:
     t = [float(b / e) if e > 0 else None for b, e in zip(beta, error, strict=True)]
     return {
         "n": n, "dof": dof, "coef": [float(b) for b in beta], "t": t, "p": [None if v is None else t_two_sided(v, dof) for v in t],
-        "r2": 1 - residual / total if total > 0 else 0.0, "residual_ss": residual, "total_ss": total,
+        "r2": float(1 - residual / total) if total > 0 else 0.0, "residual_ss": float(residual), "total_ss": float(total),
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,6 @@ def extract(docs: DataFrame, answer: Callable[[str], str], cache: DataFrame | No
 
     Texts are asked about once each, in batches of Arrow.
     """
-    import pandas as pd
-
     keyed = docs.withColumn("text_sha", F.sha2(F.coalesce(text_col, F.lit("")), 256))
     wanted = keyed.groupBy("text_sha").agg(F.min(F.substring(text_col, 1, EXTRACT_CHARS)).alias("shown"))
     known = cache.select("text_sha", "raw") if cache is not None else None

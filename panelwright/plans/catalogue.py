@@ -694,12 +694,9 @@ def ledger_floor(spark, sf_dir):
     return guards.ledger(trials(spark, sf_dir), 4)
 
 
-_BODY = F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
-
-
 def _chained(spark, sf_dir):
     e = fixtures.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    return store.chain(e, ["user_id"], ["ts", "event_id"], _BODY)
+    return store.chain(e, ["user_id"], ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
 
 
 @register("audit_chain_fold", """with recursive e as (select user_id, event_id, event_id || '|' || event_type as body, row_number() over (partition by user_id order by ts, event_id) as k from events),
@@ -778,3 +775,27 @@ def events_session(spark, sf_dir):
 @register("late_dedup", "select distinct user_id, event_type from events")
 def late_dedup(spark, sf_dir):
     return streams.first_seen(fixtures.read(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+# Models (rows only: iterative fits).
+
+
+@register("elastic_net_fit")
+def elastic_net_fit(spark, sf_dir):
+    from ..operators.models import make_model
+
+    names = ["x1", "x2", "x3"]
+    fit = make_model("elastic_net")(features(spark, sf_dir), names)
+    return spark.createDataFrame(list(zip(names, fit.coefficients, strict=True)), "feature string, coefficient double")
+
+
+@register("ladder_leaderboard")
+def ladder_leaderboard(spark, sf_dir):
+    from ..operators.models import compare
+
+    rows = features(spark, sf_dir).persist()
+    folds = out_of_sample.purged_folds(rows, rows.count(), 3, 0.01).persist()
+    board = compare(folds, ["x1", "x2", "x3"], 3, ["lasso", "elastic_net"], PPY)["leaderboard"]
+    folds.unpersist()
+    rows.unpersist()
+    return spark.createDataFrame([(r["model"], r["rank_ic"], r["long_short_sharpe"]) for r in board], "model string, rank_ic double, long_short_sharpe double")

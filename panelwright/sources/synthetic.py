@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.point_in_time import first_bar
@@ -79,16 +79,54 @@ def price_panel(spark: SparkSession, symbols: list[str], periods: int = 1260, st
     return synthetic_world(spark, symbols, periods, start, seed, drift=0.0, **options).drop("quality", "sentiment")
 
 
+def gaussian(*key) -> Column:
+    """A standard normal draw made from a hash of the key, the same wherever the row is."""
+    uniform = lambda salt: (F.pmod(F.xxhash64(*key, F.lit(salt)), F.lit(2**52)) + 0.5) / float(2**52)
+    return F.sqrt(-2 * F.ln(uniform("r"))) * F.cos(2 * np.pi * uniform("a"))
+
+
+def synthetic_raw_observations(world: DataFrame, lag_days: int = 75, period_bars: int = 63, seed: int = 0) -> DataFrame:
+    """Quarterly statements whose profitability follows latent quality: the canonical metrics and the extra ones."""
+    noise = lambda k, sd: gaussian(F.col("symbol"), F.col("seq"), F.lit(seed * 211 + k)) * sd
+    firm = lambda k, lo, hi: lo + (hi - lo) * F.pmod(F.xxhash64("symbol", F.lit(seed * 17 + k)), F.lit(10_000)) / 10_000.0
+    q, assets = F.col("quality"), F.col("assets")
+    base = world.where(F.col("seq") % period_bars == 0).withColumn("assets", firm(1, 5e8, 5e9) * F.exp(0.00008 * F.col("seq") + noise(1, 0.02)))
+    revenue = assets * (0.8 + noise(2, 0.05))
+    margin = F.greatest(F.lit(0.05), 0.30 + 0.10 * q + noise(3, 0.03))
+    wide = base.select(
+        "symbol", "seq", F.col("date").alias("period_end"), F.date_add("date", lag_days).alias("due"), q.alias("quality"), assets.alias("total_assets"), revenue.alias("revenue"),
+        (assets * margin).alias("gross_profit"), (revenue * (0.12 + noise(4, 0.01))).alias("sga"), (revenue * (0.04 + noise(5, 0.005))).alias("rnd"),
+        (assets * F.greatest(F.lit(0.05), 0.30 - 0.08 * q + noise(6, 0.03))).alias("long_term_debt"), (assets * F.greatest(F.lit(0.01), 0.06 - 0.01 * q + noise(7, 0.01))).alias("current_debt"),
+        (assets * (0.40 + noise(8, 0.03))).alias("current_assets"), (assets * (0.22 + noise(9, 0.02))).alias("current_liabilities"), (firm(2, 5e7, 5e8) * (1 + 0.00002 * F.col("seq"))).alias("shares_diluted"),
+        (assets * (0.12 + 0.02 * q + noise(10, 0.01))).alias("retained_earnings"), (assets * (0.35 + noise(11, 0.01))).alias("ppe_net"),
+    )
+    c = F.col
+    full = wide.withColumns({
+        "cogs": c("revenue") - c("gross_profit"), "ebit": c("gross_profit") - c("sga") - c("rnd"), "interest_expense": 0.05 * (c("long_term_debt") + c("current_debt")),
+        "cash": 0.3 * c("current_assets"), "receivables": 0.25 * c("current_assets"), "inventory": 0.25 * c("current_assets"), "accounts_payable": 0.4 * c("current_liabilities"),
+        "total_liabilities": c("current_liabilities") + c("current_debt") + c("long_term_debt"), "depreciation": 0.08 * c("ppe_net"), "securities": 0.02 * c("total_assets"), "taxes_payable": 0.01 * c("total_assets"),
+        "short_term_debt": c("current_debt"), "capex": 0.09 * c("ppe_net"),
+    })
+    full = full.withColumn("net_income", 0.79 * (c("ebit") - c("interest_expense"))).withColumns({
+        "income_cont_ops": c("net_income"), "op_cash_flow": c("net_income") + c("depreciation") + c("total_assets") * (0.01 * c("quality") + gaussian(c("symbol"), c("seq"), F.lit(seed * 211 + 12)) * 0.01),
+        "common_equity": c("total_assets") - c("total_liabilities"),
+    })
+    calendar = world.select("date", "seq").distinct()
+    bar = calendar.select(c("seq").alias("bar"), c("date").alias("available_date"))
+    known = first_bar(full.drop("seq", "quality"), calendar, "due").join(bar, c("seq") == c("bar")).drop("due", "seq", "bar")
+    names = [m for m in known.columns if m not in ("symbol", "period_end", "available_date")]
+    return known.unpivot(["symbol", "period_end", "available_date"], names, "metric", "value")
+
+
 def synthetic_observations(world: DataFrame, lag_days: int = 75, period_bars: int = 63, seed: int = 0) -> DataFrame:
     """Quarterly ratio metrics that follow latent quality (roe, gross_profitability, leverage) or price alone (eps_ttm, bvps, sps).
 
     Known ``lag_days`` after the period, on the next bar; periods known after the last bar are dropped.
     """
     periods = world.where(F.col("seq") % period_bars == 0)
-    noise = lambda k, sd: F.randn(seed * 101 + k) * sd
+    noise = lambda k, sd: gaussian(F.col("symbol"), F.col("seq"), F.lit(seed * 101 + k)) * sd
     calendar = world.select("date", "seq").distinct()
-    wide = periods.repartition(1).sortWithinPartitions("seq", "symbol") if world.rdd.getNumPartitions() == 1 else periods
-    wide = wide.select(
+    wide = periods.select(
         "symbol", F.col("date").alias("period_end"), F.date_add("date", lag_days).alias("due"),
         (0.12 + 0.06 * F.col("quality") + noise(1, 0.02)).alias("roe"), (0.30 + 0.10 * F.col("quality") + noise(2, 0.03)).alias("gross_profitability"),
         F.greatest(F.lit(0.05), 0.80 - 0.25 * F.col("quality") + noise(3, 0.10)).alias("leverage"), (F.col("close") * (0.05 + noise(4, 0.010))).alias("eps_ttm"),
