@@ -1,8 +1,8 @@
 """Main text of web pages: boosted trees over DOM nodes with hierarchical decoding.
 
 Every block element and text run of a page gets the log-odds that it holds main text. Decoding keeps the
-set of nodes with the largest sum of log-odds among those in which every kept node's parent is kept too,
-found bottom-up in one pass: a kept paragraph in a dropped menu, or a kept menu with nothing kept in it,
+set of nodes with the largest sum of log-odds among those in which every kept node's parent is kept too and
+no element is kept empty, found bottom-up in one pass: a kept paragraph in a dropped menu, or a kept menu with nothing kept in it,
 cannot come out. Kept runs are the text, one line each, in page order.
 
 The trees are trained on the driver when first used, on ``N_TRAINING`` pages from ``page_forms`` (their
@@ -50,26 +50,31 @@ def model() -> boosting.Boosted:
 
 
 def decode(page: Page, odds: np.ndarray) -> list[str]:
-    """The runs of the best consistent choice of nodes."""
+    """The runs of the best consistent choice of nodes.
+
+    value[i] is the most that node i and what is below it give if i is kept: an element takes every child of
+    positive value, or its best one where none is, for it cannot be kept empty.
+    """
     n = len(page.parent)
-    gain = odds.tolist()
-    alive = [t is not None for t in page.text]  # an element needs a kept node below it
-    best = [0.0] * n
-    keep = [False] * n
+    value = odds.tolist()
+    taken, dearest = [0.0] * n, [-1] * n  # sum of positive children; best child
     for i in range(n - 1, -1, -1):
-        value = gain[i] + best[i]
-        if alive[i] and value > 0:
-            keep[i] = True
-            if i:
-                p = page.parent[i]
-                best[p] += value
-                alive[p] = True
+        if page.text[i] is None:
+            value[i] = value[i] + (taken[i] or value[dearest[i]]) if dearest[i] >= 0 else -np.inf
+        p = page.parent[i]
+        if i and value[i] > -np.inf:
+            taken[p] += max(value[i], 0.0)
+            if dearest[p] < 0 or value[i] >= value[dearest[p]]:
+                dearest[p] = i
+    keep = [False] * n
+    keep[0] = value[0] > 0
     out = []
     for i in range(1, n):
-        keep[i] = keep[i] and keep[page.parent[i]]
+        p = page.parent[i]
+        keep[i] = keep[p] and (value[i] > 0 or (dearest[p] == i and not taken[p]))
         if keep[i] and page.text[i] is not None:
             out.append(page.text[i])
-    return out if keep[0] else []
+    return out
 
 
 def extract_pages(pages: list[str], trees: boosting.Boosted) -> list[str]:
