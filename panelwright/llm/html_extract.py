@@ -1,8 +1,8 @@
 """Main text of web pages: boosted trees over DOM nodes with hierarchical decoding.
 
 Every block element and text run of a page gets the log-odds that it holds main text. Decoding keeps the
-set of nodes with the largest sum of log-odds among those in which every kept node's parent is kept too and
-no element is kept empty, found bottom-up in one pass: a kept paragraph in a dropped menu, or a kept menu with nothing kept in it,
+set of nodes with the largest sum of log-odds among those in which every kept node's parent is kept too, no
+element is kept empty and all that is kept under a node sums to more than 0, found bottom-up in one pass: a kept paragraph in a dropped menu, or a kept menu with nothing kept in it,
 cannot come out. Kept runs are the text, one line each, in page order.
 
 The trees are trained on the driver when first used, on ``N_TRAINING`` pages from ``page_forms`` (their
@@ -27,7 +27,7 @@ from .common import id_and_text, map_batches, texts, with_id
 from .dom import Page, node_features, parse
 from .page_forms import training_page
 
-N_TRAINING = 1200
+N_TRAINING = 1600
 
 
 def training_nodes(seeds) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +52,20 @@ def model() -> boosting.Boosted:
 def decode(page: Page, odds: np.ndarray) -> list[str]:
     """The runs of the best consistent choice of nodes.
 
-    value[i] is the most that node i and what is below it give if i is kept: an element takes every child of
-    positive value, or its best one where none is, for it cannot be kept empty.
+    value[i] is the most that node i and what is kept below it give. Only nodes of positive value are kept, and
+    an element only with such a node below it, so a confident page cannot force doubtful parts in.
     """
     n = len(page.parent)
-    value = odds.tolist()
-    taken, dearest = [0.0] * n, [-1] * n  # sum of positive children; best child
+    value, below = odds.tolist(), [0.0] * n
     for i in range(n - 1, -1, -1):
         if page.text[i] is None:
-            value[i] = value[i] + (taken[i] or value[dearest[i]]) if dearest[i] >= 0 else -np.inf
-        p = page.parent[i]
-        if i and value[i] > -np.inf:
-            taken[p] += max(value[i], 0.0)
-            if dearest[p] < 0 or value[i] >= value[dearest[p]]:
-                dearest[p] = i
-    keep = [False] * n
-    keep[0] = value[0] > 0
+            value[i] = value[i] + below[i] if below[i] else 0.0
+        if i and value[i] > 0:
+            below[page.parent[i]] += value[i]
+    keep = [value[0] > 0] + [False] * (n - 1)
     out = []
     for i in range(1, n):
-        p = page.parent[i]
-        keep[i] = keep[p] and (value[i] > 0 or (dearest[p] == i and not taken[p]))
+        keep[i] = keep[page.parent[i]] and value[i] > 0
         if keep[i] and page.text[i] is not None:
             out.append(page.text[i])
     return out

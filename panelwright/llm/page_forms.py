@@ -67,7 +67,12 @@ class Writer:
         return self.element(self.r.choice(["div", "div", "section", "aside"]), "notice", body)
 
     def form(self) -> str:
-        return f"<form{self.attribute('form')}><label>{self.words(self.r.randint(1, 6), False)}</label><input type=text>{self.words(self.r.randint(1, 12))}<button>{self.words(1)}</button></form>"
+        fields = []
+        for _ in range(self.r.randint(1, 4)):
+            label, note = self.words(self.r.randint(1, 6), False), self.words(self.r.randint(1, 12)) if self.r.random() < 0.5 else ""
+            wrap = self.r.choice(["{}", "<p>{}</p>", "<div>{}</div>", "<li>{}</li>"])
+            fields.append(wrap.format(f"<label>{label}</label><input type=text>{note}"))
+        return f"<form{self.attribute('form')}>{''.join(fields)}<button>{self.words(1)}</button></form>"
 
     def related(self) -> str:
         title = f"<h3>{self.words(self.r.randint(1, 3), False)}</h3>" if self.r.random() < 0.7 else ""
@@ -113,7 +118,8 @@ class Writer:
         r = self.r
         out = []
         if r.random() < 0.85:
-            out.append(f"<h1>{self.kept(self.words(r.randint(1, 12), False))}</h1>")
+            title = f"<h1>{self.kept(self.words(r.randint(1, 12), r.random() < 0.3))}</h1>"
+            out.append(title if r.random() < 0.88 else f"<header>{title}</header>")
         for _ in range(r.choice([0, 1, r.randint(1, 6), r.randint(4, 25)])):
             form = r.random()
             if form < 0.78:
@@ -137,7 +143,9 @@ class Writer:
         inside = self.comments() if r.random() < 0.06 else ""
         body = "".join(out) + tail + inside
         form = r.random()
-        if form < 0.45:
+        if form < 0.04:
+            return body  # straight in whatever holds it
+        if form < 0.48:
             return f"<article{self.attribute('content') if r.random() < 0.4 else ''}>{body}</article>"
         if form < 0.6:
             return f"<main{self.attribute('content') if r.random() < 0.4 else ''}>{body}</main>"
@@ -157,7 +165,7 @@ class Writer:
             r.shuffle(top)
         side = some(0.4, self.sidebar)
         after = [some(0.3, self.related), some(0.35, self.comments), some(0.2, self.ad)]
-        article = self.article()
+        article = self.article() if r.random() < 0.93 else ""
         middle = side + article + "".join(after) if r.random() < 0.4 else article + "".join(after) + side
         if r.random() < 0.4:
             middle = self.element("div", "wrap", middle)

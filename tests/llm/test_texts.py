@@ -135,7 +135,11 @@ def test_decoding_is_consistent_and_best():
             keep = [mask >> i & 1 for i in range(n)]
             if any(keep[i] and i and not keep[page.parent[i]] for i in range(n)) or any(keep[i] and page.text[i] is None and not any(keep[j] and page.parent[j] == i for j in range(n)) for i in range(n)):
                 continue
-            best = max(best, sum(odds[i] for i in range(n) if keep[i]))
+            under = [odds[i] * keep[i] for i in range(n)]
+            for i in range(n - 1, 0, -1):
+                under[page.parent[i]] += under[i]
+            if all(under[i] > 0 for i in range(n) if keep[i]):
+                best = max(best, under[0])
         kept = E.decode(page, odds)
         chosen = [i for i in range(n) if page.text[i] in kept]
         up = set()
