@@ -198,13 +198,14 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(of_fp.hint("merge"), docs["fp"] == of_fp["of"], "left").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classify=near_duplicate_classes, **options) -> DataFrame:
     """One row of each class stays: that with the class's smallest id (all columns kept).
 
     Rows repeated under one id are one document and leave one row (the least by its columns' hash). Rows with a null id
-    cannot be told apart and all stay.
+    cannot be told apart and all stay. ``classify`` gives (id_col, component): by fingerprint distance here, by verified
+    similarity with ``near_copies.similar_classes``.
     """
-    classes = cut_lineage(near_duplicate_classes(df, id_col, text_col, **options).select(F.col(id_col).alias("gone"), "component"))
+    classes = cut_lineage(classify(df, id_col, text_col, **options).select(F.col(id_col).alias("gone"), "component"))
     dropped = classes.where("gone <> component").select("gone").distinct()
     kept = df.join(dropped.hint("merge"), df[id_col] == dropped["gone"], "left_anti")
     if classes.where("gone is not null").groupBy("gone").count().where("count > 1").isEmpty():

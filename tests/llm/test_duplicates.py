@@ -7,6 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from panelwright.llm import near_copies as N
 from panelwright.llm import passages as P
 from panelwright.llm import queries as Q
 from panelwright.llm import simhash as H
@@ -42,6 +43,42 @@ def slow_classes(fps):
     return {i: find(i) for i in ids}
 
 
+def slow_similar(docs):
+    """id -> smallest id reachable over pairs of shingle similarity 0.8, all pairs compared."""
+    sets = {i: N.shingles(t, 5) for i, t in docs.items()}
+    parent = {i: i for i in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(docs), 2):
+        if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and N.jaccard(docs[a], docs[b], 5) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: find(i) for i in docs}
+
+
+def test_near_copies_around_an_original(spark):
+    """Edited copies that are alike only through their original, which is neither first nor last by id."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    docs = {}
+    for g in range(3):
+        original = [word() for _ in range(r.choice([60, 150, 400]))]
+        for i in range(40):
+            edited = original.copy()
+            for _ in range(max(1, len(original) // 50) if i != 20 else 0):
+                edited[r.randrange(len(edited))] = word()
+            docs[g * 100 + i] = " ".join(edited)
+    docs |= {900 + i: " ".join(word() for _ in range(80)) for i in range(20)}
+    docs |= {950: "", 951: None, 952: "A  b", 953: "a B\n", 954: "a b c"}
+    got = {x["doc_id"]: x["component"] for x in N.similar_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == slow_similar({i: t or "" for i, t in docs.items()})
+    assert N.similar_classes(empty_documents(spark)).count() == 0 and N.similar_classes(odd_documents(spark)).count() == 10
+
+
 def test_fingerprint():
     for text in ("", " \n", "One", "one TWO", "a b c", "É é ß\x0b漢 字 x y z", "the cat sat on the mat the cat sat"):
         assert H.fingerprint(text) == slow_fingerprint(text)

@@ -4,7 +4,7 @@ import corpus_pipeline as C
 from panelwright.llm import decontaminate, language_id, secret_scan
 
 from .cases import odd_documents
-from .test_duplicates import slow_classes, slow_fingerprint
+from .test_duplicates import slow_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_stages(spark):
     gone = set(rows) - {r["doc_id"] for r in kept.collect()}
     assert all(not any(map(str.isalpha, rows[i]["text"] or "")) for i in gone)
 
-    classes = slow_classes({i: slow_fingerprint(r["text"] or "") for i, r in rows.items()})
+    classes = slow_similar({i: r["text"] or "" for i, r in rows.items()})
     one = C.drop_near_duplicates(spark, docs, SF)
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == set(classes.values())
 
