@@ -126,6 +126,32 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.word_tokens(), repetition=4.0, block_tokens=1_000_000)
 
 
+OP6_SQL = r"""
+with recursive d as (
+  select doc_id as id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) as bigint) as n from documents
+), s as (select source, cast(sum(n) as bigint) as tokens from d group by source having sum(n) > 0),
+p as (select source, tokens, tokens / cast((select sum(tokens) from s) as double) as p from s),
+bis as (
+  select 0 as k, 0.0::double as lo, 1.0::double as hi
+  union all
+  select k + 1, case when rep <= 4.0 then lo else mid end, case when rep <= 4.0 then mid else hi end
+  from (select k, lo, hi, (lo + hi) / 2 as mid, (select max(pow(p, (lo + hi) / 2) / tokens) / sum(pow(p, (lo + hi) / 2)) * sum(tokens) from p) as rep from bis where k < 48)
+), e as (
+  select case when (select max(1.0::double / tokens) / count(*) * sum(tokens) from p) <= 4.0 then 0.0::double else (select hi from bis where k = 48) end as x
+), quotas as (
+  select source, tokens, cast(round(pow(p, x) / (select sum(pow(p, x)) from p cross join e) * cast((select sum(tokens) from s) as double)) as bigint) as quota from p cross join e
+), copies as (
+  select d.id, d.source, d.n, q.tokens, q.quota, unnest(generate_series(0, (q.quota - 1) // q.tokens)) as epoch from d join quotas q on d.source is not distinct from q.source where q.quota > 0
+), placed as (
+  select *, epoch * tokens + coalesce(sum(n) over (partition by source, epoch order by cast('0x' || substr(md5(concat_ws('-', cast(id as varchar), cast(epoch as varchar), '0')), 1, 13) as bigint), id rows between unbounded preceding and 1 preceding), 0) as at_token from copies
+), blocks as (
+  select *, cast(floor(at_token / cast(quota as double) * greatest(1, ceil((select sum(tokens) from s) / 1000000.0::double))) as bigint) as block from placed where at_token < quota
+)
+select id as doc_id, source, cast(epoch as bigint) as epoch, block, cast(row_number() over (partition by block order by cast('0x' || substr(md5(concat_ws('-', 'block', cast(block as varchar), cast(epoch as varchar), cast(id as varchar), '0')), 1, 13) as bigint), id, epoch) - 1 as bigint) as position, n as n_tokens
+from blocks
+"""
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
     text = html_extract.extract_main_text(pages, "page")
@@ -135,4 +161,4 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_passages, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op8_license_scan, op9_token_counts, op10_html_extract)
 }
-ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}
+ORACLES: dict[str, str] = {"op6_temperature_mix": OP6_SQL, "op7_decontaminate": OP7_SQL}
