@@ -114,6 +114,18 @@ def drawdown_stats(curve: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return runs.groupBy(*keys).agg(*out) if keys else runs.agg(*out)
 
 
+def to_equity(series: DataFrame, column: str = "net") -> DataFrame:
+    """``series`` with ``equity``: a column of positive values only is taken for an equity path, any other for returns.
+
+    A returns series that is positive throughout is thus misread; name what you have where you can.
+    """
+    lowest = series.agg(F.min(column)).first()[0]
+    if lowest is not None and lowest > 0:
+        return series.withColumn("equity", F.col(column))
+    upto = Window.partitionBy(F.lit(0)).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return series.withColumn("equity", F.product(1 + F.coalesce(F.col(column), F.lit(0.0))).over(upto))
+
+
 def holding_period(held: DataFrame) -> DataFrame:
     """Mean book over mean one-way turnover, in bars, from a ``portfolio``."""
     return held.agg(F.try_divide(F.avg("book"), F.avg(F.col("turnover") / 2)).alias("holding_period"))

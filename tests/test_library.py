@@ -309,3 +309,25 @@ def test_planted_quality_is_found(spark):
 def test_calendar(spark):
     days = spark.createDataFrame([(day(0),), (day(21),)], "date date")
     assert [r["seq"] for r in panel.calendar_of(days).orderBy("seq").collect()] == [1, 2, 3, 4]
+
+
+def test_lint_and_ranges(spark, wide):
+    from panelwright.plans import lint
+
+    for name in ("momentum", "piotroski_f", "quality_score", "amihud_illiquidity"):
+        assert lint.looks_ahead(factors.add_factors(wide, name, bars=factors.WEEKLY)) == []
+    with pytest.raises(ValueError):
+        lint.require_no_lookahead(wide.withColumn("x", X.forward_return("close", 1)))
+    with pytest.raises(ValueError):
+        lint.require_no_lookahead(wide.withColumn("x", F.avg("close").over(X.by_symbol().rowsBetween(-1, 1))))
+    with pytest.raises(ValueError):
+        lint.require_no_lookahead(wide.withColumn("x", F.lag("close", -1).over(X.by_symbol())))
+    make = lambda p: factors.add_factors(p, "momentum", bars=factors.WEEKLY).select("symbol", "seq", "momentum")
+    cut = lint.over_range(wide, make, 100, 120, 30)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, make(wide).where("seq between 100 and 120").collect()))
+    assert "scores" in lint.register_views(spark, SF) and spark.sql("select count(*) from scores").first()[0] == 8925
+
+
+def test_equity_heuristic(spark):
+    assert [round(r["equity"], 6) for r in metrics.to_equity(series(spark, [0.1, -0.5])).orderBy("seq").collect()] == [1.1, 0.55]
+    assert [r["equity"] for r in metrics.to_equity(series(spark, [2.0, 3.0])).orderBy("seq").collect()] == [2.0, 3.0]
