@@ -60,10 +60,9 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 10_000, max_words: int = 30_000, max_grams: int = 15_000) -> Model:
     """Count words and n-grams of the sample on Spark and bring the most frequent ones to the driver."""
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
-    )
-    total = known.select("id").count()
+    labels = labelled.where(F.col(lang_col).isNotNull())
+    total = labels.select(lang_col).count()  # reads no text
+    known = labels.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     part = min(1.0, max_rows / max(total, 1))
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(np.ceil(part * 1_000_000)))
 
