@@ -58,7 +58,7 @@ class Model:
     rows: np.ndarray  # log frequencies, one row per word or n-gram
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 10_000, max_words: int = 30_000, max_grams: int = 15_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 10_000, max_words: int = 20_000, max_grams: int = 10_000) -> Model:
     """Count words and n-grams of the sample on Spark and bring the most frequent ones to the driver."""
     labels = labelled.where(F.col(lang_col).isNotNull())
     total = labels.select(lang_col).count()  # reads no text
@@ -95,7 +95,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     counted = map_batches(per_word, count_grams, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", "kind")
     ranked = counted.withColumn("total", F.sum("n").over(by)).withColumn("distinct", F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "gram")))
-    top = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("rank").toPandas()
+    top = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("rank").toArrow().to_pandas()
     languages = sorted(top["lang"].unique())
     place = {lang: i for i, lang in enumerate(languages)}
     tables: list[dict[str, int]] = [{} for _ in range(1 + len(ORDERS))]
