@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame, column: str) -> Column:
+    """``column`` as an expression whose hash partitioning the planner doesn't know.
+
+    A join of rows with an aggregate by the same key would reuse the aggregate's partitioning, and adaptive
+    execution cannot split a hot key's partition then. Behind this expression both sides are shuffled
+    for the join, so it can; the aggregate has one row a key.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).bitwiseXOR(F.lit(0).cast(kind))
+    return F.concat(F.col(column), F.lit("")) if isinstance(kind, T.StringType) else F.col(column)
+
+
 def with_id(df: DataFrame, ddl: str, id_col: str = "id") -> T.StructType:
     """``df``'s id column, of whatever type, followed by the columns of ``ddl``."""
     return T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL(ddl).fields])

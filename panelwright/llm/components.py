@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import apart, cut_lineage
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """edges (u, v): every v and u itself point to the smallest of u's neighbours and u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("w"), F.least("u", "least").alias("m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("least")).select(apart(edges, "u").alias("w"), F.least("u", "least").alias("m"))
     return edges.join(least.hint("merge"), edges["u"] == least["w"]).select("u", "v", "m")
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text, map_batches, texts, with_id
+from .common import apart, cut_lineage, id_and_text, map_batches, texts, with_id
 from .components import components
 
 BITS = 64
@@ -182,7 +182,7 @@ def links(fps: DataFrame, distance: int = 2, parts: int = 3, crowded: int = 64)
     packed = keyed(lambda t: t).join(crowd, ["part", "key"], "left_semi").select("node", "fp").distinct()
     radius = (distance + 1) // 2
     balls = packed.select("node", "fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _within(list(range(BITS)), radius)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
-    least = balls.groupBy("centre").agg(F.min(F.struct("node", "fp")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("centre").alias("c"), "least")
+    least = balls.groupBy("centre").agg(F.min(F.struct("node", "fp")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select(apart(balls, "centre").alias("c"), "least")
     met = balls.join(least.hint("merge"), (F.col("centre") == F.col("c")) & (F.col("node") != F.col("least.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= distance))
     return found.unionAll(met.select("node", "least.node")).distinct()
 
