@@ -203,6 +203,30 @@ def test_planted_passages(spark):
         assert min(len(a), len(b)) >= 50 and x["identity"] >= 0.8
 
 
+def test_edited_passages(spark):
+    """Passages with every 10th to 20th word replaced: brute force holds every pair of documents with one seed in common."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    text = lambda n: [word() for _ in range(n)]
+    docs, want = [], set()
+    for i in range(150):
+        passage = text(r.randint(60, 120))
+        changed = passage.copy()
+        k = r.randint(5, 15)
+        while k < len(changed):
+            changed[k] = word()
+            k += r.randint(10, 20)
+        for j, body in enumerate((passage, changed)):
+            docs.append((2 * i + j, " ".join([*text(r.randint(20, 100)), *body, *text(r.randint(20, 100))])))
+        want.add((2 * i, 2 * i + 1))
+    seeds = {i: set(P.seeds_of(P.words(t), 8, 16)[0].tolist()) for i, t in docs}
+    met = {(a, a + 1) for a, _ in want if seeds[a] & seeds[a + 1]}
+    out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {(x["a"], x["b"]) for x in out}
+    assert got <= want and len(met) >= 0.95 * len(want) and len(got & met) >= 0.95 * len(want)
+    assert all(x["identity"] >= 0.8 and x["a_end"] - x["a_start"] >= 50 for x in out)
+
+
 def test_exact_runs_in_the_tables_are_found(spark):
     """Documents that share 50 words running, by an index of every 50 words."""
     docs = {r["doc_id"]: P.words(r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
