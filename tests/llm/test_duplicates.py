@@ -227,6 +227,25 @@ def test_edited_passages(spark):
     assert all(x["identity"] >= 0.8 and x["a_end"] - x["a_start"] >= 50 for x in out)
 
 
+def test_gaps_of_any_length_are_aligned():
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(9)
+    for _ in range(150):
+        a, b = ([r.randrange(12) for _ in range(r.randint(0, 130))] for _ in range(2))
+        assert P._gap(a, b) == slow(a, b)
+    a = [f"w{i}" for i in range(200)]
+    b = [f"x{i}" if 40 < i < 160 and i % 6 == 0 else w for i, w in enumerate(a)]  # seeded at both ends only
+    runs = P.equal_runs(a, b, [(0, 0), (20, 20), (165, 165), (190, 190)], 8)
+    assert P.split_passages(a, b, runs, 50, 0.8) == [(0, 200, 0, 200, 200 - sum(x != y for x, y in zip(a, b, strict=True)))]
+
+
 def test_exact_runs_in_the_tables_are_found(spark):
     """Documents that share 50 words running, by an index of every 50 words."""
     docs = {r["doc_id"]: P.words(r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
