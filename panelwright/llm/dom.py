@@ -1,8 +1,9 @@
 """A light tree of a page's block elements and text runs, and the features of its nodes.
 
 The tree knows what extraction needs: which block element holds which run of text, in page order. Inline
-elements only mark link text; scripts, styles, comments and the head leave no nodes. Missing and stray
-end tags are forgiven the way browsers do for paragraphs, list items and table cells.
+elements only mark link text; scripts, styles, comments, the head and silent elements leave no nodes. Missing and
+stray end tags are forgiven the way browsers do for paragraphs, list items and table cells; the head ends at the
+first thing that cannot stand in it, and a silent element without an end tag at the next block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ import numpy as np
 
 # Elements by the way they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|iframe|object|canvas|title|head|select|textarea|button|math|audio|video"
+RAW = "script|style|noscript|iframe|title|textarea"  # hold text only, up to their end tag
+SILENT = frozenset("head template svg object canvas select button math audio video".split())
+NESTED = frozenset("template svg object".split())  # silent elements that may hold their own kind
+HEAD = frozenset("base basefont bgsound head html link meta noframes template".split())  # what leaves the head open
 BLOCK = frozenset(
     """html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main
     nav header footer aside form fieldset blockquote pre figure figcaption address details summary center dialog menu
@@ -61,7 +65,7 @@ for _k, _words in enumerate(CUES.values()):
         CUE[_w] = CUE.get(_w, 0) | 1 << _k
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
@@ -99,12 +103,26 @@ class Page:
         return len(self.parent) - 1
 
 
+def _is_closed(source: str, tag: str, at: int, ends: dict[str, int]) -> bool:
+    """Whether a silent element that begins before ``at`` has an end tag; ``ends`` keeps where end tags were found."""
+    if tag in NESTED:
+        if ends.get(tag, 0) < at:
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+            ends[tag] = m.start() if m else len(source)
+        return ends[tag] < len(source)
+    m = re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+    return m is not None and m[1] == "/"
+
+
 def parse(source: str) -> Page:
     page = Page()
     root = page.add(-1, FAMILY["body"], 0)
     stack: list[tuple[str, int]] = [("", root)]  # (tag, block node it writes to)
     pieces: list[str] = []
     anchors = linked = 0
+    mute = None  # place in the stack of the outermost silent element
+    loose = False  # it has no end tag
+    ends: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -116,9 +134,11 @@ def parse(source: str) -> Page:
         linked = 0
 
     def pop(depth: int) -> None:
-        nonlocal anchors
-        if any(t in BLOCK for t, _ in stack[depth:]):
+        nonlocal anchors, mute
+        if any(t in BLOCK for t, _ in stack[depth:mute]):
             flush()
+        if mute is not None and depth <= mute:
+            mute = None
         anchors -= sum(t == "a" for t, _ in stack[depth:])
         del stack[depth:]
 
@@ -132,7 +152,9 @@ def parse(source: str) -> Page:
     done = 0
     for m in TOKEN.finditer(source):
         start = m.start()
-        if start > done:
+        if start > done and mute is not None and stack[mute][0] == "head" and not source[done:start].isspace():
+            pop(mute)
+        if start > done and mute is None:
             pieces.append(source[done:start])
             linked += (start - done) if anchors else 0
         done = m.end()
@@ -142,15 +164,31 @@ def parse(source: str) -> Page:
         tag = tag.lower()
         if m[2]:
             if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
+                if mute is None:
+                    flush()
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     pop(k)
                     break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
+                if tag not in BLOCK and tag not in SILENT and stack[k][0] in BLOCK:
                     break  # an inline end tag does not end blocks
             continue
+        if mute is not None and (tag not in HEAD if stack[mute][0] == "head" else loose and (tag in BLOCK or tag == stack[mute][0])):
+            pop(mute)
+        if mute is not None:
+            if tag not in VOID and not m[4].endswith("/"):
+                stack.append((tag, stack[-1][1]))
+                anchors += tag == "a"
+                if len(stack) > mute + 2000:
+                    anchors -= stack[mute + 1][0] == "a"
+                    del stack[mute + 1]
+            continue
+        if tag in SILENT:
+            if not m[4].endswith("/"):
+                mute, loose = len(stack), tag != "head" and not _is_closed(source, tag, done, ends)
+                stack.append((tag, stack[-1][1]))
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -170,7 +208,7 @@ def parse(source: str) -> Page:
             stack.append((tag, stack[-1][1]))
             if len(stack) > 2000:  # inline elements that are never closed
                 del stack[next(k for k in range(1, len(stack)) if stack[k][0] not in BLOCK)]
-    if done < len(source):
+    if done < len(source) and (mute is None or stack[mute][0] == "head"):
         pieces.append(source[done:])
         linked += (len(source) - done) if anchors else 0
     flush()

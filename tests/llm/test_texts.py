@@ -124,6 +124,21 @@ def test_extraction_of_a_written_page():
     assert E.extract_pages([PAGE], E.model()) == [want]
 
 
+def test_silent_elements_lose_no_more_than_themselves():
+    said = lambda source: " ".join(t for t in parse(source).text if t)
+    assert said("<html><head><title>T</title><meta charset=utf-8><body><p>one</p>") == "one"
+    assert said("<head><link rel=x><script>a</script><p>one<p>two") == "one two" and said("<head><title>T</title>\nplain text") == "plain text"
+    assert said("<head><style>a</style></head><body>one</body>") == "one"
+    for tag in ("button", "select", "video", "svg", "object", "audio", "canvas", "math", "template"):
+        assert said(f"<div><{tag}>no<i>no</i></{tag}> one</div><p>two") == "one two"
+        assert said(f"<div><{tag}>no</div><p>two") == "two" and said(f"<body><{tag}>no<p>two</p>") == "two"
+        assert said(f"<p>a <{tag}><div>no</div></{tag}> b</p>") == "a b" and said(f"<body><{tag}><div>no</{tag}><p>two") == "two"
+    assert said("<body><button>no<p>two</p><button>no</button><p>three") == "two three"
+    assert said("<video-player>one</video-player><button-group>two</button-group><head-line>three</head-line><script-x>four</script-x>") == "onetwothreefour"
+    assert said("<svg/>one<p>two") == "one two" and said("<script>if (a < b) '</p>'</script >one<style>b{}") == "one"
+    assert said("<svg><svg></svg>no</svg>one") == "one" and said("<svg>" * 3000 + "<p>two") == "two"
+
+
 def test_decoding_is_consistent_and_best():
     r = random.Random(3)
     for _ in range(30):
