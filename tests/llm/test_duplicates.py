@@ -176,6 +176,20 @@ def test_chains_against_all_pairs():
         assert abs(score - slow_chain_score(matches, 0.03)) < 1e-9
 
 
+def test_copies_without_their_repeats(spark):
+    """Documents of which one repeats a line and the other holds it once; their shingle sets are alike."""
+    r = random.Random(8)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    docs = {}
+    for i in range(12):
+        body, line = text(120), text(10)
+        docs[2 * i], docs[2 * i + 1] = " ".join(body + line * 20), " ".join(body + line)
+    want = slow_similar(docs)
+    assert all(want[2 * i + 1] == 2 * i for i in range(12))
+    got = N.similar_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {x["doc_id"]: x["component"] for x in got.collect()} == want
+
+
 def test_planted_passages(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
