@@ -4,7 +4,7 @@ Two sources of spans per document:
 
 * base patterns ``assign``, ``access`` and ``hex`` (leftmost, non-overlapping per kind), and
 * ``guess``: a value in a credential context (``pwd``, ``passphrase``, ``bearer``, URL user info, ...)
-  that no base span covers and whose estimated number of guesses is at least ``10 ** min_log10``.
+  that base spans don't cover whole and whose estimated number of guesses is at least ``10 ** min_log10``.
 
 The number of guesses is the cheapest segmentation of the value, found by dynamic programming, into
 dictionary words (with capitals and common substitutions), dates, repeats, keyboard walks and
@@ -38,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"""(?:passphrase|passcode|password|passwd|pwd|pass|secret|token|credentials?|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key)"""
-    r"""["']?\x20*(?:[:=]>?|->|\bis\b)\x20*["']?([^\s"'<>,;|]+)"""
+    r"""["']?\x20*(?:[:=]>?|->|(\bis\b))\x20*["']?([^\s"'<>,;|]+)"""
     r"""|\bbearer\x20+([A-Za-z0-9+/_.=~-]+)"""
     r"""|://[^\s:/@"'<>]+:([^\s:/@"'<>]+)@""",
     re.IGNORECASE | re.ASCII,
@@ -137,7 +137,7 @@ def log10_guesses(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-#: A value that is one plain word, capitalised or not, is prose rather than a credential.
+#: After "is", a value that is one plain word, capitalised or not, is prose rather than a credential.
 PROSE = re.compile(r"[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+")
 _NOT_HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 
@@ -155,16 +155,21 @@ def find_spans(text: str, ranks: dict[str, int], min_log10: float) -> list[tuple
     if b"x" * 24 in text.encode("utf-8", "surrogatepass").translate(_NOT_HEX):
         found += [("hex", m.start(), m.end(), log10_guesses(m[0], ranks)) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
-        taken = sorted((s, e) for _, s, e, _ in found)
-        k = reach = 0
+        taken: list[tuple[int, int]] = []
+        for s, e in sorted((s, e) for _, s, e, _ in found):
+            if taken and s <= taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
+        k = 0
         for m in CONTEXT.finditer(text):
             start = m.start(m.lastindex)
             value = m[m.lastindex].rstrip(".!?)#*")
             end = start + len(value)
-            while k < len(taken) and taken[k][0] < end:
-                reach = max(reach, taken[k][1])
+            while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if reach <= start and not PROSE.fullmatch(value) and (cost := log10_guesses(value, ranks)) >= min_log10:
+            covered = k < len(taken) and taken[k][0] <= start and end <= taken[k][1]
+            if not covered and not (m[1] and PROSE.fullmatch(value)) and (cost := log10_guesses(value, ranks)) >= min_log10:
                 found.append(("guess", start, end, cost))
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found

@@ -59,6 +59,19 @@ def test_guess_spans():
     assert found("The password is required. pwd: password123 pass: qwertyuiop the key: value") == []
 
 
+def test_guess_spans_beyond_base_spans():
+    found = lambda t: [t[s:e] for k, s, e, _ in S.find_spans(t, RANKS, 9.0) if k == "guess"]
+    assert found('password = "hunter2!Xk9#mQ"') == ["hunter2!Xk9#mQ"] and found('password = "hunter2xXk9mQ"') == []
+    assert found("pwd=xkqjzpwvmrthbg") == ["xkqjzpwvmrthbg"] and found("http://user:qhzkvbtrwmxp@host") == ["qhzkvbtrwmxp"]
+    assert found("the password is complicated") == []
+
+
+def test_redacted_values_leave_nothing(spark):
+    docs = spark.createDataFrame([(1, 'a password = "hunter2!Xk9#mQ" b'), (2, "pwd=xkqjzpwvmrthbg c")], "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
+    assert got == {1: 'a [secret]" b', 2: "pwd=[secret] c"}
+
+
 def slow_guesses(value):
     """Every segmentation of a short value, priced piece by piece with the same prices."""
     best = {0: 0.0}
