@@ -8,8 +8,8 @@ prefix table has the size of its text, and the count of any prefix is a partial
 budget questions need no encoding (``count_at``, ``bytes_within``).
 
 The library's default for special strings holds: each is one token wherever it stands. Steps are exact at
-code point boundaries (a text cannot end elsewhere). Words met before are looked up in a per-worker table
-of at most ``CACHE`` entries that is emptied when full, which changes time only.
+code point boundaries (a text cannot end elsewhere). Words of up to ``CACHED_CHARS`` characters met before are looked
+up in a per-worker table of at most ``CACHE`` entries that is emptied when full, which changes time only.
 
 Defined results: null is an empty text; an empty text has no steps and 0 tokens; very long texts are
 encoded whole, memory a small multiple of the text; repeated rows give repeated results; an empty table
@@ -19,43 +19,34 @@ gives an empty result; columns other than id and text are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import sys
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches, texts, with_id
 
-#: Most pre-tokens a worker remembers.
-CACHE = 600_000
+#: Most pre-tokens a worker remembers, and the most characters of one it does.
+CACHE, CACHED_CHARS = 600_000, 64
+#: Key of a token's number in the node where it ends; other keys are bytes.
+TOKEN = 256
 #: Code points with the Unicode property White_Space (fixed values).
 SPACES = "\t-\r \x85\xa0  -     　"
+#: White space of two or more characters before something else.
+RUN = re.compile(rf"[{SPACES}]{{2,}}(?=[^{SPACES}])")
+
 
 
 @functools.cache
-def splitter() -> re.Pattern[str]:
-    """The byte-level pre-tokenizer's pattern, with letters and numbers written out as ranges."""
-
-    def ranges(major: str) -> str:
-        spans, start = [], None
-        for c in range(sys.maxunicode + 2):
-            inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == major
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                spans.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
-                start = None
-        return "".join(spans)
-
-    letters, numbers = ranges("L"), ranges("N")
-    return re.compile(
-        rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-    )
+def splitter() -> regex.Pattern[str]:
+    """The byte-level pre-tokenizer's pattern."""
+    return regex.compile(rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -65,6 +56,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _signed(byte: int) -> int:
+    return byte - 256 if byte > 127 else byte
+
+
+class Steps(dict):
+    """Steps of pre-tokens, found when first asked for; short ones are remembered."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, word: str) -> bytes:
+        counts = self.counter.prefix_counts(word.encode("utf-8", "replace"))
+        if word in ("'re", "'ve", "'ll"):  # two letters in, the text still ends in "'" and a letter
+            counts[2] = 2
+        steps = bytes([(b - a) & 255 for a, b in itertools.pairwise(counts)])
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = steps
+        return steps
+
+
 class PrefixCounter:
     """Step tables for the vocabulary in one tokenizer file."""
 
@@ -73,96 +87,108 @@ class PrefixCounter:
             spec = json.load(f)
         byte = _byte_letters()
         raw = lambda token: bytes(byte[c] for c in token)
-        self.tokens = {raw(t): k for t, k in spec["model"]["vocab"].items()}
-        self.longest = max(map(len, self.tokens))
+        self.bytes_of = {k: raw(t) for t, k in spec["model"]["vocab"].items()}
+        self.trie: dict[int, dict] = {}
+        for k, token in self.bytes_of.items():
+            node = self.trie
+            for value in token:
+                node = node.setdefault(value, {})
+            node[TOKEN] = k
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.find = splitter().findall
-        self.steps: dict[str, bytes] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.steps = Steps(self)
+        self.follows: dict[int, bool] = {}  # by both tokens' numbers
+        self.parts: dict[bytes, tuple[bytes, bytes, int] | None] = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain BPE of a short string: the lowest-ranked adjacent pair is merged first."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+    def merge(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes, int] | None]:
+        """Plain BPE of a short string, the lowest-ranked adjacent pair first, and its last merge with the merge's rank."""
+        parts, done = [data[i : i + 1] for i in range(len(data))], None
         while len(parts) > 1:
             best, at = min((self.rank.get(p, sys.maxsize), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
             if best == sys.maxsize:
                 break
+            done = parts[at], parts[at + 1], best
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, done
 
-    def may_follow(self, left: bytes, right: bytes) -> bool:
-        if (known := self.follows.get((left, right))) is None:
-            if len(self.follows) >= 2 * CACHE:
-                self.follows.clear()
-            known = self.follows[left, right] = self.merge(left + right) == [left, right]
-        return known
+    def made_of(self, token: bytes) -> tuple[bytes, bytes, int] | None:
+        """The merge that ends the encoding of a token's own bytes; None for single bytes and for tokens that encoding doesn't give back."""
+        if token not in self.parts:
+            parts, done = self.merge(token)
+            self.parts[token] = done if len(parts) == 1 else None
+        return self.parts[token]
 
     def stands(self, token: bytes) -> bool:
         """Whether encoding the token's own bytes gives it back."""
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = len(self.merge(token)) == 1
+        return len(token) == 1 or self.made_of(token) is not None
+
+    def may_follow(self, left_token: int, right_token: int) -> bool:
+        """Whether encoding the joined bytes of two tokens gives the same two back.
+
+        Until they are whole, the ends that meet are the right parts of ``left`` and the left parts of ``right``, each
+        there until its own merge. The border falls if two that meet have a merge which comes before both of those.
+        Of equal ranks the leftmost merge comes first.
+        """
+        left, right = self.bytes_of[left_token], self.bytes_of[right_token]
+        known = self.stands(left) and self.stands(right)
+        a_until = b_until = sys.maxsize
+        while known:
+            joint = self.rank.get((left, right), sys.maxsize)
+            if joint < a_until and joint <= b_until and joint < sys.maxsize:
+                known = False
+                break
+            a, b = self.made_of(left), self.made_of(right)
+            if a is None and b is None:
+                break
+            # The later merge of the two is undone; of the same merge on both sides, the right one.
+            if b is None or (a is not None and a[2] > b[2]):
+                left, a_until = a[1], a[2]
+            else:
+                right, b_until = b[0], b[2]
+        if len(self.follows) >= 2 * CACHE:
+            self.follows.clear()
+        self.follows[left_token << 32 | right_token] = known
         return known
 
     def prefix_counts(self, data: bytes) -> list[int]:
-        """Tokens of data[:i] for each i, as one piece; last[i] is the encoding's last token."""
-        counts, last = [0], [b""]
-        tokens, follows, longest = self.tokens, self.follows, self.longest
-        for end in range(1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = data[start:end]
-                if token in tokens:
+        """Tokens of data[:i] for each i, as one piece. ``last[i]`` is the encoding's last token: the longest one that fits."""
+        n = len(data)
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        follows = self.follows
+        for start in range(n):
+            node, before, count = self.trie, last[start] << 32, counts[start] + 1
+            for end in range(start, n):
+                if (node := node.get(data[end])) is None:
+                    break
+                if (token := node.get(TOKEN)) is not None and last[end + 1] < 0:
                     if not start:
-                        fits = self.stands(token)
-                    elif (fits := follows.get((last[start], token))) is None:
+                        fits = self.stands(self.bytes_of[token])
+                    elif (fits := follows.get(before | token)) is None:
                         fits = self.may_follow(last[start], token)
                     if fits:
-                        counts.append(counts[start] + 1)
-                        last.append(token)
-                        break
+                        counts[end + 1], last[end + 1] = count, token
         return counts
 
-    def word_steps(self, word: str) -> bytes:
-        """Steps of one pre-token, remembered."""
-        if (steps := self.steps.get(word)) is None:
-            data = word.encode("utf-8", "replace")
-            counts = self.prefix_counts(data)
-            if word in ("'re", "'ve", "'ll"):  # two letters in, the text still ends in "'" and a letter
-                counts[2] = 2
-            steps = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
-            if len(self.steps) >= CACHE:
-                self.steps.clear()
-            self.steps[word] = steps
-        return steps
-
     def plain_steps(self, text: str) -> bytearray:
         """Steps of a text without special strings."""
-        words, known, out = self.find(text), self.steps, []
-        for word in words:
-            out.append(known.get(word) or self.word_steps(word))
-        steps = bytearray(b"".join(out))
+        steps = bytearray(b"".join(map(self.steps.__getitem__, self.find(text))))
+        done = begin = 0
         # White space that ends a text is one piece, though before a word its last character is not.
-        for m in re.finditer(rf"[{SPACES}]{{2,}}(?=[^{SPACES}])", text):
+        for m in RUN.finditer(text):
             run = m[0]
-            if len(words) == 1:
-                break
-            head, tail = run[:-1].encode(), run[-1].encode()
-            begin = len(text[: m.start()].encode("utf-8", "replace"))
-            whole = self.prefix_counts(head + tail)
-            at = begin + len(head)
-            split_end = int(np.frombuffer(steps[at : at + len(tail)], np.int8).sum()) if text[m.end() - 1] != " " else None
-            step = whole[-1] - whole[len(head)]
+            begin += len(text[done : m.start()].encode("utf-8", "replace"))
+            done = m.start()
+            tail = len(run[-1].encode())
+            at = begin + len(run.encode()) - tail
+            step = sum(_signed(k) for k in self.steps[run][-tail:])
             # The count right after the run, then the next byte takes up what the split really has.
-            after = at + len(tail)
-            first = split_end if split_end is not None else int(np.frombuffer(steps[at : at + 1], np.int8)[0])
-            for k in range(at, after):
-                steps[k] = 0
-            steps[after - 1] = step & 255
-            following = int(np.frombuffer(steps[after : after + 1], np.int8)[0]) + first - step
-            steps[after] = following & 255
+            after = at + tail
+            first = sum(map(_signed, steps[at:after])) if run[-1] != " " else _signed(steps[at])
+            steps[at:after] = bytes(tail - 1) + bytes([step & 255])
+            steps[after] = (_signed(steps[after]) + first - step) & 255
         return steps
 
     def encode_steps(self, text: str) -> bytes:

@@ -270,3 +270,26 @@ def test_mix_of_odd_documents(spark):
 
 def test_tokenizer_files_stay_where_they_are():
     assert Q.TOKENIZER == public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_token_borders_against_merging():
+    c = T.PrefixCounter(Q.TOKENIZER)
+    r = random.Random(11)
+    short = [k for k, t in c.bytes_of.items() if len(t) <= 6]
+    for _ in range(20_000):
+        a, b = r.choice(short), r.choice(short)
+        left, right = c.bytes_of[a], c.bytes_of[b]
+        assert c.may_follow(a, b) == (c.merge(left + right)[0] == [left, right])
+
+
+def test_long_texts_with_blank_lines_take_linear_time():
+    import time
+
+    c = T.counter(Q.TOKENIZER)
+    text = "word here.\n\n" * 500_000
+    began = time.process_time()
+    steps = c.encode_steps(text)
+    assert time.process_time() - began < 60 and T.count_at(steps, len(steps)) == library(text)
+    assert all(T.count_at(steps, n) == library(text[:n]) for n in range(100))
+    long = "x" * 10_000 + " tail"
+    assert T.count_at(c.encode_steps(long), len(long)) == library(long) and "x" * 10_000 not in c.steps
