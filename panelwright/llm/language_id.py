@@ -6,9 +6,9 @@ letters. A text's language maximises the sum over its words; its score is the me
 probability that the word alone gives to that language.
 
 Training takes a bounded sample of labelled rows: about ``max_rows`` of them, chosen by a hash of the id
-(all of them where there are fewer), of which the ``max_words`` most frequent words of each language and
-``max_grams`` n-grams of each language and order are kept. These bounds fix the size of what the driver
-gathers and broadcasts. Predictions read the whole of every text and nothing else.
+(all of them where there are fewer). Words and n-grams that occur ``least`` times or more in a language are kept;
+the bound on rows fixes how many there can be for the driver to gather and broadcast. Predictions read the whole of
+every text and nothing else.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text where
 training saw no labelled row; words of an unseen script leave all languages even; ties go to the language
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches, with_id
@@ -58,8 +58,8 @@ class Model:
     rows: np.ndarray  # log frequencies, one row per word or n-gram
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 10_000, max_words: int = 20_000, max_grams: int = 10_000) -> Model:
-    """Count words and n-grams of the sample on Spark and bring the most frequent ones to the driver."""
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 10_000, least: int = 3) -> Model:
+    """Count words and n-grams of the sample on Spark and bring those that recur to the driver."""
     labels = labelled.where(F.col(lang_col).isNotNull())
     total = labels.select(lang_col).count()  # reads no text
     known = labels.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -93,10 +93,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     per_word = map_batches(sample.select("text", "lang"), count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = map_batches(per_word, count_grams, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("lang", "kind")
-    ranked = counted.withColumn("total", F.sum("n").over(by)).withColumn("distinct", F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "gram")))
-    top = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("rank").toArrow().to_pandas()
-    languages = sorted(top["lang"].unique())
+    sizes = counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+    counted = counted.persist()
+    size_of = {(r["lang"], r["kind"]): r["total"] + r["distinct"] for r in sizes.collect()}  # six rows a language
+    top = counted.where(F.col("n") >= least).toArrow().to_pandas()
+    counted.unpersist()
+    languages = sorted({lang for lang, _ in size_of})
     place = {lang: i for i, lang in enumerate(languages)}
     tables: list[dict[str, int]] = [{} for _ in range(1 + len(ORDERS))]
     blocks = []
@@ -107,10 +109,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         index = {g: i for i, g in enumerate(names)}
         counts = np.zeros((len(names), len(languages)))
         counts[mine["gram"].map(index).to_numpy(int), mine["lang"].map(place).to_numpy(int)] = mine["n"]
-        sizes = np.ones(len(languages))
-        for lang, rows in mine.groupby("lang"):
-            sizes[place[lang]] = rows["total"].iloc[0] + rows["distinct"].iloc[0]
-        blocks.append(np.log((counts + 0.5) / sizes))
+        blocks.append(np.log((counts + 0.5) / [size_of.get((lang, kind), 1) for lang in languages]))
         tables[0 if kind == 0 else 1 + ORDERS.index(kind)] = {g: base + i for g, i in index.items()}
         base += len(names)
     rows = np.concatenate(blocks) if blocks else np.zeros((0, 0))
@@ -118,7 +117,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 
 class Scorer:
-    """Scores texts in one worker; unseen words' rows are appended and dropped when over ``CACHE`` of them are held."""
+    """Scores texts in one worker; unseen words' rows are appended, and dropped before a batch that would make them over ``CACHE``."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, len(model.rows)
@@ -134,8 +133,6 @@ class Scorer:
 
     def _learn(self, unseen: list[str]) -> None:
         """Append the back-off rows of unseen words."""
-        if len(self.log) - self.known + len(unseen) > CACHE:
-            self.log, self.share, self.index = self.log[: self.known], self.share[: self.known], dict(self.model.words)
         found, sizes = [], []
         for word in unseen:
             before = len(found)
@@ -165,10 +162,13 @@ class Scorer:
             out.append(counts)
         if not self.model.languages:
             return [(UND, 0.0)] * len(texts)
-        if unseen := set().union(*out) - self.index.keys():
+        asked = set().union(*out)
+        unseen = asked - self.index.keys()
+        if unseen and len(self.log) - self.known + len(unseen) > CACHE:
+            self.log, self.share, self.index = self.log[: self.known], self.share[: self.known], dict(self.model.words)
+            unseen = asked - self.index.keys()  # all that these texts need, however many
+        if unseen:
             self._learn(sorted(unseen))
-            if not all(w in self.index for c in out for w in c):  # the table was emptied: learn what else these texts have
-                self._learn(sorted(set().union(*out) - self.index.keys()))
         get = self.index.__getitem__
         result = []
         for counts in out:

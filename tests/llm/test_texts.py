@@ -293,3 +293,38 @@ def test_long_texts_with_blank_lines_take_linear_time():
     assert all(T.count_at(steps, n) == library(text[:n]) for n in range(100))
     long = "x" * 10_000 + " tail"
     assert T.count_at(c.encode_steps(long), len(long)) == library(long) and "x" * 10_000 not in c.steps
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["hello", "ab", "abc", "x", "zz", "q", "rst", "uv"]), max_size=8), max_size=6))
+def test_scores_do_not_hang_on_what_is_remembered(batches):
+    rows = np.log(np.array([[0.5, 0.1], [0.2, 0.4], [0.1, 0.3], [0.3, 0.2]]))
+    model = I.Model(["a", "b"], {"hello": 0}, [{}, {}, {"<ab": 1, "abc": 2}, {}, {"x": 3}], rows)
+
+    def slow(text):
+        chosen = []
+        for word in text.split():
+            known = [rows[0]] if word == "hello" else next((k for k in ([rows[t[g]] for g in I.grams(word, o) if g in t] for o, t in zip(I.ORDERS, model.grams, strict=True)) if k), [np.zeros(2)])
+            chosen.append(np.mean(known, axis=0))
+        if not chosen:
+            return "und", 0.0
+        best = int(np.argmax(np.sum(chosen, axis=0)))
+        return "ab"[best], float(np.mean([np.exp(c[best]) / np.exp(c).sum() for c in chosen]))
+
+    before, I.CACHE = I.CACHE, 2
+    try:
+        s = I.Scorer(model)
+        for words in batches:
+            text = " ".join(words)
+            for (lang, score), (want, much) in zip(s.predict([text, None, text[:5]]), [slow(text), ("und", 0.0), slow(text[:5])], strict=True):
+                assert lang == want and abs(score - much) < 1e-9
+    finally:
+        I.CACHE = before
+
+
+def test_many_unseen_words(monkeypatch):
+    monkeypatch.setattr(I, "CACHE", 1500)
+    s = I.Scorer(I.Model(["a", "b"], {}, [{}, {}, {}, {}, {"x": 0}], np.log(np.array([[0.3, 0.2]]))))
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    s.predict([" ".join(map(name, range(1200)))])
+    assert s.predict([" ".join(map(name, range(1000, 2500)))])[0][0] == "a" and len(s.index) == 1500
