@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,3 +66,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: flo
         value[t] = rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + ridge)
         score += value[t, leaf]
     return Boosted(feature, threshold, value, base)
+
+
+def dump(trees: Boosted) -> str:
+    """JSON of the trees, one to a line."""
+    rows = zip(trees.feature.tolist(), trees.threshold.tolist(), trees.value.tolist(), strict=True)
+    lines = ",\n".join(json.dumps({"feature": f, "threshold": t, "value": v}) for f, t, v in rows)
+    return f'{{"base": {trees.base!r}, "trees": [\n{lines}\n]}}\n'
+
+
+def load(text: str) -> Boosted:
+    spec = json.loads(text)
+    column = lambda name, kind: np.array([t[name] for t in spec["trees"]], kind)
+    return Boosted(column("feature", np.int64), column("threshold", float), column("value", float), spec["base"])

@@ -8,8 +8,11 @@ first thing that cannot stand in it, and a silent element without an end tag at
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +29,7 @@ BLOCK = frozenset(
     hgroup search ins""".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "ins"} | {"hr"}
+AROUND_P = ("div", "td", "th", "li", "article", "section", "main", "blockquote", "body", "table")  # what an open paragraph isn't closed beyond
 #: An element of the key's kind ends open elements of the value's kinds, up to the nearest of the third.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -64,11 +68,11 @@ for _k, _words in enumerate(CUES.values()):
     for _w in _words.split():
         CUE[_w] = CUE.get(_w, 0) | 1 << _k
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/][^<>]*\Z",
-    re.DOTALL | re.IGNORECASE,
-)
+#: What begins at a "<": a comment, a tag's name or another declaration.
+MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: The rest of a tag: quotes count after "=" only, and one that is never closed is an ordinary character.
+REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.IGNORECASE) for tag in RAW.split("|")}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -103,6 +107,71 @@ class Page:
         return len(self.parent) - 1
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or None, is an end tag, attributes) of all markup, in page order; raw-text elements whole, without a tag.
+
+    Every character is read once: a tag without an end runs to the end of the page, as it does in browsers.
+    """
+    at, n = source.find("<"), len(source)
+    while at >= 0:
+        m = MARK.match(source, at)
+        if m is None:
+            at = source.find("<", at + 1)
+            continue
+        tag, attributes = m[3], ""
+        if m[1]:
+            end = source.find("-->", m.end())
+            end = end + 3 if end >= 0 else n
+        elif tag is None:
+            end = source.find(">", m.end()) + 1 or n
+        else:
+            tag, rest = tag.lower(), REST.match(source, m.end())
+            end = rest.end() if rest else n
+            attributes = source[m.end() : end - 1] if rest else ""
+            if rest is None:
+                tag = None
+            elif tag in RAW_END and not m[2]:
+                close = RAW_END[tag].search(source, end)
+                tag, end = None, close.end() if close else n
+        yield at, end, tag, bool(m[2]), attributes
+        at = source.find("<", end)
+
+
+class Open:
+    """The open elements: (tag, block node written to) from the root on, and where each kind stands among them."""
+
+    def __init__(self, root: int):
+        self.stack: list[tuple[str, int]] = [("", root)]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.at[tag].append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these kinds, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def outermost(self, tags, above: int) -> int:
+        """Place of the outermost open element of these kinds beyond ``above``, 0 if there is none."""
+        found = (places[k] for t in tags if (places := self.at.get(t)) and (k := bisect.bisect_right(places, above)) < len(places))
+        return min(found, default=0)
+
+    def cut(self, depth: int) -> tuple[bool, int]:
+        """Close all from ``depth`` on; whether blocks were among them, and how many anchors."""
+        anchors, block = 0, bool(self.blocks) and self.blocks[-1] >= depth
+        while len(self.stack) > depth:
+            tag, _ = self.stack.pop()
+            self.at[tag].pop()
+            anchors += tag == "a"
+            if tag in BLOCK:
+                self.blocks.pop()
+        return block, anchors
+
+
 def _is_closed(source: str, tag: str, at: int, ends: dict[str, int]) -> bool:
     """Whether a silent element that begins before ``at`` has an end tag; ``ends`` keeps where end tags were found."""
     if tag in NESTED:
@@ -117,7 +186,8 @@ def _is_closed(source: str, tag: str, at: int, ends: dict[str, int]) -> bool:
 def parse(source: str) -> Page:
     page = Page()
     root = page.add(-1, FAMILY["body"], 0)
-    stack: list[tuple[str, int]] = [("", root)]  # (tag, block node it writes to)
+    held = Open(root)
+    stack = held.stack
     pieces: list[str] = []
     anchors = linked = 0
     mute = None  # place in the stack of the outermost silent element
@@ -135,79 +205,60 @@ def parse(source: str) -> Page:
 
     def pop(depth: int) -> None:
         nonlocal anchors, mute
-        if any(t in BLOCK for t, _ in stack[depth:mute]):
-            flush()
+        if held.blocks and held.blocks[-1] >= depth:  # what silent elements hold are no blocks of the page
+            if mute is None or held.blocks[bisect.bisect_left(held.blocks, depth)] < mute:
+                flush()
         if mute is not None and depth <= mute:
             mute = None
-        anchors -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-
-    def close_up_to(kinds, stop) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in stop:
-                return
-            if stack[k][0] in kinds:
-                pop(k)
+        anchors -= held.cut(depth)[1]
 
     done = 0
-    for m in TOKEN.finditer(source):
-        start = m.start()
+    for start, end, tag, closing, attributes in tags(source):
         if start > done and mute is not None and stack[mute][0] == "head" and not source[done:start].isspace():
             pop(mute)
         if start > done and mute is None:
             pieces.append(source[done:start])
             linked += (start - done) if anchors else 0
-        done = m.end()
-        tag = m[3]
+        done = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                if mute is None:
-                    flush()
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCK and tag not in SILENT and stack[k][0] in BLOCK:
-                    break  # an inline end tag does not end blocks
+        if closing:
+            if place := held.last((tag,)):
+                if tag in BLOCK or tag in SILENT or not held.blocks or held.blocks[-1] < place:  # an inline end tag does not end blocks
+                    pop(place)
+            elif tag == "p" and mute is None:
+                flush()
             continue
         if mute is not None and (tag not in HEAD if stack[mute][0] == "head" else loose and (tag in BLOCK or tag == stack[mute][0])):
             pop(mute)
+        alone = attributes.endswith("/")
         if mute is not None:
-            if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, stack[-1][1]))
+            if tag not in VOID and not alone:
+                held.push(tag, stack[-1][1])
                 anchors += tag == "a"
-                if len(stack) > mute + 2000:
-                    anchors -= stack[mute + 1][0] == "a"
-                    del stack[mute + 1]
             continue
         if tag in SILENT:
-            if not m[4].endswith("/"):
+            if not alone:
                 mute, loose = len(stack), tag != "head" and not _is_closed(source, tag, done, ends)
-                stack.append((tag, stack[-1][1]))
+                held.push(tag, stack[-1][1])
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             pieces.append(" ")
             continue
-        if tag in CLOSES_P:
-            close_up_to(("p",), ("div", "td", "th", "li", "article", "section", "main", "blockquote", "body", "table"))
-        if tag in IMPLIED:
-            close_up_to(*IMPLIED[tag])
+        if tag in CLOSES_P and (place := held.outermost(("p",), held.last(AROUND_P))):
+            pop(place)
+        if tag in IMPLIED and (place := held.outermost(IMPLIED[tag][0], held.last(IMPLIED[tag][1]))):
+            pop(place)
         if tag in BLOCK:
             flush()
-            node = page.add(stack[-1][1], FAMILY[tag], cues(m[4]) if m[4] else 0)
-            if not m[4].endswith("/"):
-                stack.append((tag, node))
-        elif not m[4].endswith("/"):
+            node = page.add(stack[-1][1], FAMILY[tag], cues(attributes) if attributes else 0)
+            if not alone:
+                held.push(tag, node)
+        elif not alone:
             anchors += tag == "a"
-            stack.append((tag, stack[-1][1]))
-            if len(stack) > 2000:  # inline elements that are never closed
-                del stack[next(k for k in range(1, len(stack)) if stack[k][0] not in BLOCK)]
+            held.push(tag, stack[-1][1])
     if done < len(source) and (mute is None or stack[mute][0] == "head"):
         pieces.append(source[done:])
         linked += (len(source) - done) if anchors else 0

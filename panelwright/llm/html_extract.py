@@ -5,11 +5,12 @@ set of nodes with the largest sum of log-odds among those in which every kept no
 element is kept empty and all that is kept under a node sums to more than 0, found bottom-up in one pass: a kept paragraph in a dropped menu, or a kept menu with nothing kept in it,
 cannot come out. Kept runs are the text, one line each, in page order.
 
-The trees are trained on the driver when first used, on ``N_TRAINING`` pages from ``page_forms`` (their
-layouts vary in containers, attributes, order, boilerplate and markup errors; their words are random), so
-the model's size and training cost are fixed. Pages to extract are never used for training.
+The trees in ``page_trees.json`` were trained by ``train`` on ``N_TRAINING`` pages from ``page_forms`` (their
+layouts vary in containers, attributes, order, boilerplate and markup errors; their words are random);
+``python -m panelwright.llm.html_extract`` trains them again. Pages to extract are never used for training.
 
-Defined results: null and empty pages give empty text; pages cut anywhere are read as far as they go;
+Defined results: null and empty pages give empty text; pages cut anywhere are read as far as they go, and a tag
+without an end runs to the end of the page; malformed pages take time in proportion to their length;
 a page with no main text gives empty text; very long pages are read whole, one at a time; repeated rows
 give repeated results; an empty table gives an empty result; other columns are ignored.
 """
@@ -17,6 +18,7 @@ give repeated results; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import functools
+import pathlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from .dom import Page, node_features, parse
 from .page_forms import training_page
 
 N_TRAINING = 1600
+TREES = pathlib.Path(__file__).with_name("page_trees.json")
 
 
 def training_nodes(seeds) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +47,15 @@ def training_nodes(seeds) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys).astype(float)
 
 
+def train(pages: int = N_TRAINING, trees: int = 60) -> boosting.Boosted:
+    return boosting.fit(*training_nodes(range(pages)), trees=trees)
+
+
 @functools.cache
 def model() -> boosting.Boosted:
-    return boosting.fit(*training_nodes(range(N_TRAINING)), trees=60)
+    """The trained trees, read on the driver and broadcast."""
+    with open(TREES, encoding="utf-8") as f:
+        return boosting.load(f.read())
 
 
 def decode(page: Page, odds: np.ndarray) -> list[str]:
@@ -98,3 +107,7 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "h
         return step
 
     return map_batches(source, make, with_id(source, "text string")).withColumnRenamed("id", id_col)
+
+
+if __name__ == "__main__":
+    TREES.write_text(boosting.dump(train()), encoding="utf-8")

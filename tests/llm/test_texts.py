@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelwright.llm import audio_features as A
+from panelwright.llm import boosting
 from panelwright.llm import html_extract as E
 from panelwright.llm import language_id as I
 from panelwright.llm import mixing as M
@@ -97,6 +98,14 @@ def test_generated_pages_held_out():
     assert hit / (hit + wrong) > 0.98 and hit / (hit + lost) > 0.98
 
 
+def test_trees_are_trained_and_kept():
+    trees = E.train(pages=40, trees=8)
+    again = boosting.load(boosting.dump(trees))
+    x, y = E.training_nodes(range(1000, 1010))
+    assert np.array_equal(trees.log_odds(x), again.log_odds(x)) and ((trees.log_odds(x) > 0) == y).mean() > 0.85
+    assert len(E.model().value) == 60
+
+
 def test_op10_on_the_tables(spark):
     import html
     import re
@@ -328,3 +337,21 @@ def test_many_unseen_words(monkeypatch):
     name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
     s.predict([" ".join(map(name, range(1200)))])
     assert s.predict([" ".join(map(name, range(1000, 2500)))])[0][0] == "a" and len(s.index) == 1500
+
+
+@pytest.mark.parametrize("part", ["<a b ", "<a '", "<a x='", "<a x=\"'", "<!", "<script ", "<b>", "<i></b>", "<ul><p>", "<div></span>", "<p><ul>", "<select>", "<svg><p>", "</p>", "<td><table>", "<button><b>", "<object><svg>"])
+def test_malformed_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    parse(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30
+
+
+def test_tags_and_quotes():
+    said = lambda source: [t for t in parse(source).text if t]
+    assert said("<p title='a>b'>one</p><p class=\"x>y\">two") == ["one", "two"] and said("<p it's>one</p>") == ["one"]
+    assert said("<p title=\"open>one<p>two") == ["one", "two"] and said("one<p <b>two</b>") == ["one", "two"] and said("one <p two") == ["one"]
+    assert said("a < b <3 <!doctype html>c<!-- > -->d</ >e") == ["a < b <3 cde"]
+    assert said("<p>" + "<b>" * 5000 + "deep" + "</b>" * 5000 + "<a href=x>link") == ["deeplink"]
+    assert parse("<p>" + "<i>" * 5000 + "<a>one</a></p><p>two").link == [0, 0, 3, 0, 0]
