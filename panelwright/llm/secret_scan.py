@@ -6,10 +6,11 @@ Two sources of spans per document:
 * ``guess``: a value in a credential context (``pwd``, ``passphrase``, ``bearer``, URL user info, ...)
   that base spans don't cover whole and whose estimated number of guesses is at least ``10 ** min_log10``.
 
-The number of guesses is the cheapest segmentation of the value, found by dynamic programming, into
+The number of guesses is the cheapest of all segmentations of the value, found by dynamic programming, into
 dictionary words (with capitals and common substitutions), dates, repeats, keyboard walks and
-brute-force spans. Every span carries the cost of its value, so weak base findings can be told apart;
-they are never removed.
+brute-force spans. The dictionary is common password words, then the corpus's own words by frequency
+(``corpus_words``; its size is a parameter, the counts cover all texts, values in credential contexts left
+out). Every span carries the cost of its value, so weak base findings can be told apart; they are never removed.
 
 Defined results: a null text is an empty text; an empty text has no spans; very long texts are scanned
 whole (the segmentation is linear in the value's length); repeated rows give repeated results; an empty
@@ -18,8 +19,10 @@ table gives an empty result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,9 +66,12 @@ DATE = re.compile(
     r"|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d"
     r"|(?:19|20)\d\d"
 )
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.DOTALL)
+#: Longest unit of a repeat, and the cost of how often it is repeated, in powers of ten.
+UNIT, TIMES = 8, math.log10(64)
 #: Cost of opening one more segment, in powers of ten.
 SEGMENT = math.log10(2.0)
+#: Words of the corpus that a dictionary may hold.
+CORPUS_WORD = re.compile(r"(?<![^\W_])[a-z]{3,24}(?![^\W_])")
 
 
 def _alphabet(ch: str) -> float:
@@ -77,61 +83,92 @@ def _alphabet(ch: str) -> float:
     return math.log10(33) if ch < "\x7f" else 2.0
 
 
+class Ranks(dict):
+    """Words by rank, and the lengths they have."""
+
+    def __init__(self, words):
+        super().__init__({w: k for k, w in reversed(list(enumerate(words, 1)))})
+        self.sizes = sorted({len(w) for w in self if len(w) >= 3})
+
+    def __reduce__(self):
+        return Ranks, (sorted(self, key=self.get),)
+
+
+def word_cost(piece: str, ranks: Ranks) -> float:
+    """Log10 of the guesses for a dictionary word in some capitals and with common substitutions; infinite if it is none."""
+    low = piece.lower()
+    swapped = 0.0
+    if not (rank := ranks.get(low)):
+        if not (rank := ranks.get(low.translate(SUBSTITUTES))):
+            return math.inf
+        swapped = math.log10(4)
+    case = 0.0 if piece.islower() else math.log10(2) if piece[1:].islower() or piece.isupper() else math.log10(2) * len(piece) / 2
+    return math.log10(rank) + swapped + case
+
+
+def date_cost(piece: str) -> float:
+    if not DATE.fullmatch(piece):
+        return math.inf
+    return math.log10(365 * 60) if len(piece) > 4 else math.log10(60)
+
+
+def walk_cost(length: int, line: str) -> float:
+    return math.log10(len(KEY_ROWS) * 2 * len(line) * length)
+
+
 def _walks(value: str) -> Iterator[tuple[int, int, float]]:
-    """Keyboard walks of four or more keys."""
+    """All stretches of four or more keys along a row (a row has few keys, so a place begins few of them)."""
     low = value.lower()
     for row in KEY_ROWS:
         for line in (row, row[::-1]):
-            i = 0
-            while i < len(low):
-                at, j = line.find(low[i]), i + 1
-                while at >= 0 and j < len(low) and at + j - i < len(line) and line[at + j - i] == low[j]:
-                    j += 1
-                if j - i >= 4:
-                    yield i, j, math.log10(len(KEY_ROWS) * 2 * len(line) * (j - i))
-                    i = j
-                else:
-                    i += 1
-
-
-def log10_guesses(value: str, ranks: dict[str, int]) -> float:
+            for i, key in enumerate(low):
+                at = line.find(key)
+                for j in range(i + 1, i + len(line) - at if at >= 0 else 0):
+                    if j >= len(low) or line[at + j - i] != low[j]:
+                        break
+                    if j - i >= 3:
+                        yield i, j + 1, walk_cost(j + 1 - i, line)
+
+
+def log10_guesses(value: str, ranks: Ranks) -> float:
     """Log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     best[j] is the least cost of the first j characters; brute[j] the least among those whose last
-    segment is a brute-force span. Words are looked up at every start and length the dictionary has,
-    so the whole costs O(length x longest word).
+    segment is a brute-force span; repeat[u][j] the least among those whose last segment repeats its first u
+    characters (at least twice and three characters in all, the last time perhaps in part). Every start and
+    length of words, dates and walks is tried, so the whole costs O(length x longest word).
     """
     n = len(value)
     if not n:
         return 0.0
-    longest = max(map(len, ranks), default=0)
-    plain, undone = value.lower(), value.lower().translate(SUBSTITUTES)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            if rank := ranks.get(plain[i:j]):
-                swapped = 0.0
-            elif rank := ranks.get(undone[i:j]):
-                swapped = math.log10(4)
-            else:
-                continue
-            piece = value[i:j]
-            case = 0.0 if piece.islower() else math.log10(2) if piece[1:].islower() or piece.isupper() else math.log10(2) * len(piece) / 2
-            ends[i].append((j, math.log10(rank) + swapped + case))
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            ends[i].append((m.end(), math.log10(365 * 60) if m.end() - i > 4 else math.log10(60)))
-    for m in REPEAT.finditer(value):
-        unit = m[1]
-        if m.end() - m.start() >= 3:
-            ends[m.start()].append((m.end(), sum(map(_alphabet, unit)) + math.log10((m.end() - m.start()) // len(unit))))
+        for size in ranks.sizes:
+            if i + size > n:
+                break
+            if (cost := word_cost(value[i : i + size], ranks)) < math.inf:
+                ends[i].append((i + size, cost))
+        if value[i].isdigit():
+            ends[i] += [(j, cost) for j in range(i + 3, min(n, i + 10) + 1) if (cost := date_cost(value[i:j])) < math.inf]
     for i, j, cost in _walks(value):
         ends[i].append((j, cost))
+    letters = [0.0, *itertools.accumulate(map(_alphabet, value))]
     best, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
+    repeat, run = [math.inf] * (UNIT + 1), [0] * (UNIT + 1)  # at this place; characters equal to those u before
     best[0] = 0.0
     for i in range(n):
         brute[i + 1] = min(brute[i], best[i] + SEGMENT) + _alphabet(value[i])
         best[i + 1] = min(best[i + 1], brute[i + 1])
+        for u in range(1, min(UNIT, i) + 1):
+            if value[i] != value[i - u]:
+                repeat[u], run[u] = math.inf, 0
+                continue
+            run[u] += 1
+            shortest = max(2 * u, 3)
+            if run[u] >= shortest - u:
+                begin = i + 1 - shortest
+                repeat[u] = min(repeat[u], best[begin] + SEGMENT + letters[begin + u] - letters[begin] + TIMES)
+                best[i + 1] = min(best[i + 1], repeat[u])
         for j, cost in ends[i]:
             best[j] = min(best[j], best[i] + SEGMENT + cost)
     return best[n]
@@ -142,7 +179,7 @@ PROSE = re.compile(r"[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+")
 _NOT_HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 
 
-def find_spans(text: str, ranks: dict[str, int], min_log10: float) -> list[tuple[str, int, int, float]]:
+def find_spans(text: str, ranks: Ranks, min_log10: float) -> list[tuple[str, int, int, float]]:
     """All spans of one text as (kind, start, end, cost), by start and then kind."""
     found: list[tuple[str, int, int, float]] = []
     low = text.lower()
@@ -175,23 +212,47 @@ def find_spans(text: str, ranks: dict[str, int], min_log10: float) -> list[tuple
     return found
 
 
+def corpus_words(df: DataFrame, text_col: str = "text", n_words: int = 30_000) -> list[str]:
+    """The guesser's dictionary: ``WORDS``, then the ``n_words`` most frequent other words of all texts, most frequent first."""
+
+    def make():
+        def step(batch):
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    low = text.lower()
+                    if any(h in low for h in CONTEXT_HINTS):
+                        low = CONTEXT.sub(" ", low)
+                    counts.update(CORPUS_WORD.findall(low))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        return step
+
+    texts_only = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    counted = map_batches(texts_only, make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(n_words).collect()
+    return list(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))
+
+
 def secret_scan(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    words: tuple[str, ...] | list[str] = tuple(WORDS),
+    words: tuple[str, ...] | list[str] | None = None,
     min_log10: float = 9.0,
 ) -> DataFrame:
     """(id_col, spans array<struct<kind, start, end, cost>>), one row per input row.
 
-    Offsets are code points, ends exclusive. ``words`` is the guesser's dictionary, most likely first.
+    Offsets are code points, ends exclusive. ``words`` is the guesser's dictionary, most likely first; by default
+    the corpus's own (``corpus_words`` of ``df``).
     """
-    ranks = {w: k for k, w in reversed(list(enumerate(words, 1)))}
+    ranks = Ranks(corpus_words(df, text_col) if words is None else words)
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
 
     def make():
         def step(batch):
-            rows = [[dict(zip(("kind", "start", "end", "cost"), s, strict=True)) for s in find_spans(t, ranks, min_log10)] for t in texts(batch)]
+            rows = [[dict(zip(("kind", "start", "end", "cost"), s, strict=True)) for s in find_spans(t, sent.value, min_log10)] for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, spans)], ["id", "spans"])
 
         return step
@@ -210,13 +271,13 @@ def count_kind(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", **options) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", words=None, min_log10: float = 9.0) -> DataFrame:
     """``df`` with every span of ``secret_scan`` replaced by ``mask``; columns and rows stay as they were.
 
     Works on the row itself (no join), so repeated ids are no trouble. A null text stays null.
     """
-    ranks = {w: k for k, w in reversed(list(enumerate(options.get("words", WORDS), 1)))}
-    least = options.get("min_log10", 9.0)
+    ranks = Ranks(corpus_words(df, text_col) if words is None else words)
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(text_col)
 
     def make():
@@ -224,7 +285,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
             out = []
             for text in batch.column(at).to_pylist():
                 pieces, done = [], 0
-                for _, start, end, _ in find_spans(text or "", ranks, least):
+                for _, start, end, _ in find_spans(text or "", sent.value, min_log10):
                     if start >= done:
                         pieces += [text[done:start], mask]
                     done = max(done, end)

@@ -34,7 +34,7 @@ def test_stages(spark):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == want
 
     masked = {r["doc_id"]: r for r in C.redact_secrets(spark, docs, SF).collect()}
-    ranks = {w: k for k, w in enumerate(secret_scan.WORDS, 1)}
+    ranks = secret_scan.Ranks(secret_scan.corpus_words(docs))
     assert masked.keys() == rows.keys()
     for i, r in rows.items():
         spans = secret_scan.find_spans(r["text"] or "", ranks, 9.0)

@@ -1,7 +1,10 @@
 """Secret scans, license scans and decontamination."""
 
+import difflib
 import hashlib
+import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from ..oracle import check
 from .cases import empty_documents, odd_documents
 
 SF = "/root/testdata/sf0.001"
-RANKS = {w: k for k, w in enumerate(S.WORDS, 1)}
+RANKS = S.Ranks(S.WORDS)
 
 
 def base_of(text):
@@ -72,33 +75,56 @@ def test_redacted_values_leave_nothing(spark):
     assert got == {1: 'a [secret]" b', 2: "pwd=[secret] c"}
 
 
-def slow_guesses(value):
-    """Every segmentation of a short value, priced piece by piece with the same prices."""
+def slow_guesses(value, ranks=RANKS):
+    """Every segmentation of a short value, each piece as any kind that it is."""
     best = {0: 0.0}
     n = len(value)
 
     def pieces(i, j):
         part = value[i:j]
         yield sum(map(S._alphabet, part))
-        low, undone = part.lower(), part.lower().translate(S.SUBSTITUTES)
-        case = 0.0 if part.islower() else S.math.log10(2) if part[1:].islower() or part.isupper() else S.math.log10(2) * len(part) / 2
         if len(part) >= 3:
-            if low in RANKS:
-                yield S.math.log10(RANKS[low]) + case
-            elif undone in RANKS:
-                yield S.math.log10(RANKS[undone]) + S.math.log10(4) + case
+            yield S.word_cost(part, ranks)
+        if part[0].isdigit():
+            yield S.date_cost(part)
+        for u in range(1, S.UNIT + 1):
+            if len(part) >= max(3, 2 * u) and all(part[k] == part[k - u] for k in range(u, len(part))):
+                yield sum(map(S._alphabet, part[:u])) + S.TIMES
+        for row in S.KEY_ROWS:
+            for line in (row, row[::-1]):
+                if len(part) >= 4 and part.lower() in line:
+                    yield S.walk_cost(len(part), line)
 
     for j in range(1, n + 1):
         best[j] = min(best[i] + S.SEGMENT + c for i in range(j) for c in pieces(i, j))
     return best[n]
 
 
-@pytest.mark.parametrize("value", ["Dragonx", "p4ssw0rd", "mZsecretQ", "loveadmin", "hello", "TESTtest"])
+@pytest.mark.parametrize("value", ["Dragonx", "p4ssw0rd", "mZsecretQ", "loveadmin", "hello", "TESTtest", "aaaapple", "pass1999-12-31", "19991231x", "qwertyuiopass", "abcabcabcab", "zzqwerasdf1231999", "11111111", "7654321loveaaaa"])
 def test_cheapest_segmentation(value):
     assert abs(S.log10_guesses(value, RANKS) - slow_guesses(value)) < 1e-9
     assert S.log10_guesses("", RANKS) == 0 and S.log10_guesses("a1" * 5000, RANKS) > 0
 
 
+def test_cheapest_segmentation_of_random_values():
+    r = random.Random(13)
+    ranks = S.Ranks([*S.WORDS, "apple", "wertyu", "aab", "bcb"])
+    for _ in range(400):
+        value = "".join(r.choice([r.choice("aAbB1290-x!é"), r.choice(["love", "P4ss", "qwert", "1999", "31/12", "abab", "aaa", "lkjh", "wertyuio", "apple"])]) for _ in range(r.randint(1, 7)))[:24]
+        assert abs(S.log10_guesses(value, ranks) - slow_guesses(value, ranks)) < 1e-9
+
+
+def test_dictionary_of_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "Elephant garden, ELEPHANT gardens; correct horse battery staple"), (2, "pwd: xkqzvwmpltrbnh an elephant"), (3, None), (4, "pwd: xkqzvwmpltrbnh"), (5, "h3llo cat_elephant a1b")], "doc_id int, text string")
+    words = S.corpus_words(docs)
+    assert words[: len(set(S.WORDS))] == list(dict.fromkeys(S.WORDS)) and words[len(set(S.WORDS))] == "elephant" and not {"xkqzvwmpltrbnh", "llo"} & set(words)
+    assert S.corpus_words(docs, n_words=1)[-1] == "elephant" and S.corpus_words(empty_documents(spark)) == list(dict.fromkeys(S.WORDS))
+    secrets = docs.limit(0).union(spark.createDataFrame([(1, "pwd: elephantgarden"), (2, "passphrase: correcthorsebatterystaple"), (3, "pwd: xkqzvwmpltrbnh")], "doc_id int, text string"))
+    found = {r["doc_id"]: [s["cost"] for s in r["spans"]] for r in S.secret_scan(secrets, words=words).collect()}
+    assert found[1] == [] and 9 < found[2][0] < 10 and found[3][0] > 19  # two, four and no words of the corpus
+    assert {r["doc_id"]: len(r["spans"]) for r in S.secret_scan(secrets).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_secrets_on_odd_documents(spark):
     docs = odd_documents(spark)
     assert S.secret_scan(docs).count() == docs.count() and S.secret_scan(empty_documents(spark)).count() == 0
@@ -140,3 +166,66 @@ def test_blocks_agree_and_odd_documents(spark):
     assert D.find_hits(empty_documents(spark), odd).count() == 0 and D.find_hits(odd_documents(spark), odd.limit(0)).count() == 11
     kept = D.remove_contaminated(odd_documents(spark), odd)
     assert kept.columns == odd_documents(spark).columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, None, 9}
+
+
+def slow_licenses(text):
+    """(license, first word, end) of every wording at every place of the text, longest first, without overlaps."""
+    words = L.tokens(text)
+    met = []
+    for k, (name, wording) in enumerate(L.WORDINGS):
+        want = L.tokens(wording)
+        slack = int(0.1 * len(want))
+        best = {}
+        for i in range(len(words)):
+            for j in range(i + len(want) - slack, min(len(words), i + len(want) + slack) + 1):
+                if j <= i or words[i] not in want or words[j - 1] not in want:
+                    continue
+                codes = difflib.SequenceMatcher(None, want, words[i:j], autojunk=False).get_opcodes()
+                changes = [(want[a:b], words[i + c : i + d]) for kind, a, b, c, d in codes if kind != "equal"]
+                lost = sum(max(len(x), len(y)) for x, y in changes)
+                if lost <= slack and codes[0][0] != "insert" and codes[-1][0] != "insert" and not any(L.DECISIVE.fullmatch(w) for x, y in changes for w in (*x, *y)):
+                    best[i, j] = lost
+        while best:
+            i, j = min(best, key=lambda p: (best[p], p))
+            met.append((-(len(want) - best[i, j]), k, i, j, name))
+            best = {p: n for p, n in best.items() if p[1] <= i or j <= p[0]}
+    out = []
+    for _, _, i, j, name in sorted(met):
+        if all(j <= a or b <= i for a, b, _ in out):
+            out.append((i, j, name))
+    return sorted(out)
+
+
+def test_licenses_against_every_place():
+    r = random.Random(12)
+    noise = lambda: [r.choice(["alpha", "the", "software", "beta", "license", "gamma", "of", "copyright", "by"]) for _ in range(r.randint(0, 12))]
+    reach = L._prepared(L.WORDINGS)[1]
+    for _ in range(60):
+        lines = []
+        for _, wording in r.sample([w for w in L.WORDINGS if len(L.tokens(w[1])) < 45], r.randint(1, 3)):
+            words = wording.split()
+            if len(words) > 25:
+                words[r.randrange(1, 4)] = "altered"
+            wrapped, n = [], 0
+            while n < len(words):
+                wrapped.append(" ".join(words[n : (n := n + r.randint(4, 30))]))
+            lines += [" ".join(noise()), *wrapped]
+        text = "\n".join([*lines, " ".join(noise())])
+        got = [(s, e, name) for b in L.blocks(text, reach) for s, e, name, _, _ in L.judge(text, b) if name != "unknown"]
+        places = [m.span() for m in L.WORD.finditer(text)]
+        assert [(sum(a < s for a, _ in places), sum(a < e for a, _ in places), name) for s, e, name in got] == slow_licenses(text)
+
+
+def test_several_licenses_in_a_block():
+    reach = L._prepared(L.WORDINGS)[1]
+    names = lambda t: [n for b in L.blocks(t, reach) for _, _, n, _, _ in L.judge(t, b)]
+    lines = {n: t for n, t in reversed(L.WORDINGS) if len(t) < 90}
+    assert names("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert names("Licensed under CC BY-SA 4.0. All rights reserved.") == ["CC-BY-SA-4.0", "Proprietary"]
+    assert names(f"{lines['MIT']} {lines['Apache-2.0']} {lines['GPL-3.0']}") == ["MIT", "Apache-2.0", "GPL-3.0"]
+    for name, text in L.WORDINGS:
+        for width in (40, 80, 500):
+            assert names("Title\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)) + "\n\nend") == [name]
+    every = "\n\n".join(t for _, t in L.WORDINGS)
+    assert names(every) == [n for n, _ in L.WORDINGS]
+    assert names("Licensed under the Apache License, Version 1.1.") == ["unknown"]
