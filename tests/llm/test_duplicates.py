@@ -233,7 +233,7 @@ def test_edited_passages(spark):
         for j, body in enumerate((passage, changed)):
             docs.append((2 * i + j, " ".join([*text(r.randint(20, 100)), *body, *text(r.randint(20, 100))])))
         want.add((2 * i, 2 * i + 1))
-    seeds = {i: set(P.seeds_of(P.words(t), 8, 16)[0].tolist()) for i, t in docs}
+    seeds = {i: set(P.seeds_of(P.words(t), P.K, P.WINDOW)[0].tolist()) for i, t in docs}
     met = {(a, a + 1) for a, _ in want if seeds[a] & seeds[a + 1]}
     out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     got = {(x["a"], x["b"]) for x in out}
@@ -274,3 +274,66 @@ def test_exact_runs_in_the_tables_are_found(spark):
     for x in out:
         a, b = docs[x["doc_id"]][x["a_start"] : x["a_end"]], docs[x["other_doc_id"]][x["b_start"] : x["b_end"]]
         assert min(len(a), len(b)) >= 50 and len(set(a) & set(b)) >= 0.6 * min(len(set(a)), len(set(b)))
+
+
+def test_short_copies_compilations_and_common_lines(spark):
+    """Copies of ten to thirty words, texts quoted whole by a longer one, and texts made of widely shared lines."""
+    r = random.Random(15)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    docs = {}
+    for g in range(40):
+        body = text(r.randint(10, 80))
+        docs[10 * g], docs[10 * g + 1], docs[10 * g + 2] = " ".join(body), " ".join([*body[:-1], *text(1)]), " ".join([*text(1), *body])
+    quoted = [text(120) for _ in range(6)]
+    for i, body in enumerate(quoted):
+        for k in range(2):
+            edited = body.copy()
+            edited[r.randrange(len(edited))] = text(1)[0]
+            docs[1000 + 10 * i + k] = " ".join(edited)
+    docs |= {990 + k: " ".join(w for q in quoted for w in q) + f" end {k}" for k in range(2)}
+    lines = [" ".join(text(14)) for _ in range(30)]
+    for i in range(25):
+        body = "\n".join(r.sample(lines, 12))
+        docs[2000 + 2 * i], docs[2001 + 2 * i] = body, body + " " + text(1)[0]
+    want = slow_similar(docs)
+    got = {x["doc_id"]: x["component"] for x in N.similar_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < len(docs) - 100
+
+
+def test_an_id_with_two_texts(spark):
+    r = random.Random(16)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    one, two = text(100), text(100)
+    docs = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, *text(1)])), (3, " ".join([*two, *text(1)])), (4, " ".join(text(100)))]
+    got = sorted(map(tuple, N.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_classes_of_spans(spark):
+    """Three passages, each in several documents, two of them in one document; classes are those of the planted passages."""
+    r = random.Random(17)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passages, docs, planted = [text(80), text(100), text(60)], [], []
+    for i in range(24):
+        parts = [text(r.randint(30, 90))]
+        for p in {i % 3, (i // 3) % 3}:
+            planted.append((i, sum(map(len, parts)), p))
+            parts += [passages[p], text(r.randint(60, 90))]
+        docs.append((i, " ".join(w for part in parts for w in part)))
+    out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    spans = {(x["id"], x["start"]): x["class"] for x in P.passage_classes(out).collect()}
+    named = {}
+    for i, start, p in planted:
+        near = {c for (d, s), c in spans.items() if d == i and abs(s - start) <= 2}
+        assert len(near) == 1 and named.setdefault(p, near) == near
+    assert len(set().union(*named.values())) == 3 and len(spans) == len(planted)
+
+
+def test_many_partners_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 3)
+    r = random.Random(18)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passage = text(70)
+    docs = [(i, " ".join([*text(20), *passage, *text(20)])) for i in range(30)]
+    out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["a"] for x in out} | {x["b"] for x in out} == set(range(30)) and all(x["a_end"] - x["a_start"] == 70 for x in out)
