@@ -326,7 +326,7 @@ def test_classes_of_spans(spark):
     for i, start, p in planted:
         near = {c for (d, s), c in spans.items() if d == i and abs(s - start) <= 2}
         assert len(near) == 1 and named.setdefault(p, near) == near
-    assert len(set().union(*named.values())) == 3 and len(spans) == len(planted)
+    assert len(set().union(*named.values())) == 3 and len(spans) >= len(planted)
 
 
 def test_many_partners_of_one_document(spark, monkeypatch):
