@@ -213,7 +213,10 @@ def find_spans(text: str, ranks: Ranks, min_log10: float) -> list[tuple[str, int
 
 
 def corpus_words(df: DataFrame, text_col: str = "text", n_words: int = 30_000) -> list[str]:
-    """The guesser's dictionary: ``WORDS``, then the ``n_words`` most frequent other words of all texts, most frequent first."""
+    """The guesser's dictionary: ``WORDS``, then the most frequent other words of all texts, most frequent first.
+
+    Words of about equal frequency (an eighth of a doubling) are taken together, as long as ``n_words`` or fewer are taken.
+    """
 
     def make():
         def step(batch):
@@ -229,9 +232,15 @@ def corpus_words(df: DataFrame, text_col: str = "text", n_words: int = 30_000) -
         return step
 
     texts_only = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = map_batches(texts_only, make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(n_words).collect()
-    return list(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))
+    counted = map_batches(texts_only, make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    level, words, least = F.floor(8 * F.log2("n")), 0, 1 << 20
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows at any size
+        if (words := words + r["count"]) > n_words:
+            break
+        least = r["level"]
+    top = counted.where(level >= least).collect()
+    counted.unpersist()
+    return list(dict.fromkeys([*WORDS, *(r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"])))]))
 
 
 def secret_scan(
