@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,34 +64,36 @@ def fat_tails(returns: DataFrame, column: str = "net") -> DataFrame:
 # Trials.
 
 #: What makes a request a trial of its own (fixed values); the declared number of trials does not.
-TRIAL_KEYS = ("provider", "symbols", "factor", "lookback", "skip", "cost_bps", "gross", "periods", "seed", "start")
+TRIAL_KEYS = ("provider", "factor", "lookback", "skip", "cost_bps", "gross", "periods", "seed", "start", "symbols")
 NUMERIC = ("lookback", "skip", "cost_bps", "gross", "periods", "seed")
 
 
+def canonical_text(value) -> str | None:
+    return None if value is None else str(value).strip()
+
+
 def canonical_number(value):
-    """126, 126.0 and "126" alike; NaN as "nan"; what is no number as it is."""
+    """126, 126.0 and "126" alike; NaN as "nan"; what is no number as trimmed text."""
     try:
         x = float(value)
     except (TypeError, ValueError):
-        return value
+        return canonical_text(value)
     if math.isnan(x):
         return "nan"
     return int(x) if math.isfinite(x) and x == int(x) else x
 
 
 def canonical_symbols(symbols) -> list[str]:
-    """Trimmed, upper-cased, sorted; blanks go, repeats stay."""
-    if symbols is None:
-        return []
-    given = symbols.split(",") if isinstance(symbols, str) else symbols
-    return sorted(s for s in (str(x).strip().upper() for x in given) if s)
+    """Trimmed, upper-cased, sorted; blanks go, repeats stay. A lone value is one symbol."""
+    given = symbols if isinstance(symbols, Iterable) and not isinstance(symbols, str) else [symbols]
+    return sorted(s for s in (str(x).strip().upper() for x in given if x is not None) if s)
 
 
 def canonical_request(request: dict) -> dict:
     out = {}
     for key in TRIAL_KEYS:
         value = request.get(key)
-        out[key] = canonical_symbols(value) if key == "symbols" else canonical_number(value) if key in NUMERIC else value
+        out[key] = canonical_symbols(value) if key == "symbols" else canonical_number(value) if key in NUMERIC else canonical_text(value)
     return out
 
 
@@ -110,7 +113,7 @@ def fingerprint_columns(requests: DataFrame, columns: tuple[str, ...] | list[str
         if name == "symbols":
             kept = F.filter(F.transform(F.split(c, ","), lambda s: F.upper(F.trim(s))), lambda s: s != "")
             return F.concat(F.lit('["'), F.array_join(F.array_sort(kept), '","'), F.lit('"]'))
-        return F.coalesce(F.concat(F.lit('"'), c.cast("string"), F.lit('"')), F.lit("null"))
+        return F.coalesce(F.concat(F.lit('"'), F.trim(c.cast("string")), F.lit('"')), F.lit("null"))
 
     body = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), canonical(n)) for n in sorted(columns)])
     return requests.withColumn("fingerprint", F.substring(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256), 1, 16))

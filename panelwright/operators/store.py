@@ -6,8 +6,11 @@ Every reader is scoped to a workspace. Nothing is updated in place, so a writer
 from __future__ import annotations
 
 import hashlib
+import json
 import secrets
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,21 +95,30 @@ def decrypt(value: Column | str, key: bytes) -> Column:
     return F.aes_decrypt(F.col(value) if isinstance(value, str) else value, F.lit(key), F.lit("GCM")).cast("string")
 
 
-def chain(entries: DataFrame, keys: list[str], order: list[str], body: Column) -> DataFrame:
+def chain(entries: DataFrame, keys: list[str], order: list[str], body: Column, after: DataFrame | None = None) -> DataFrame:
     """(keys, order, body, hash): each entry's hash covers the one before, per key.
 
-    A chain is sequential by nature: a key's entries are folded in order inside one row. Keys with very
-    long chains are continued from the last stored hash (``after``) rather than refolded.
+    A chain is sequential by nature: a key's entries pass one task in order, which holds no more than the last hash.
+    ``after`` (keys, hash), the last stored hash of a key, continues stored chains.
     """
-    listed = entries.select(*keys, F.struct(*order, body.alias("body")).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit(GENESIS).alias("hash"), F.expr("cast(array() as array<string>)").alias("hashes"))
-
-    def step(acc, e):
-        h = F.sha2(F.concat(acc["hash"], e["body"]), 256)
-        return F.struct(h.alias("hash"), F.concat(acc["hashes"], F.array(h)).alias("hashes"))
-
-    folded = listed.select(*keys, "es", F.aggregate("es", start, step)["hashes"].alias("hashes"))
-    return folded.select(*keys, F.explode(F.arrays_zip("es", "hashes")).alias("z")).select(*keys, *[f"z.es.{o}" for o in order], F.col("z.es.body").alias("body"), F.col("z.hashes").alias("hash"))
+    rows = entries.select(*keys, *order, body.alias("body"))
+    start = F.lit(GENESIS) if after is None else F.coalesce("hash", F.lit(GENESIS))
+    rows = rows if after is None else rows.join(after.select(*keys, "hash"), keys, "left")
+    rows = rows.select(*keys, *order, "body", start.alias("hash")).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ""
+        for batch in batches:
+            out = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, text, first in zip(*columns[: len(keys)], columns[-2], columns[-1], strict=True):
+                before = held if last == key else first
+                last = key
+                held = hashlib.sha256((before + (text or "")).encode()).hexdigest()
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], batch.schema.names)
+
+    return rows.mapInArrow(fold, rows.schema)
 
 
 def verify_chain(chained: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -116,6 +128,42 @@ def verify_chain(chained: DataFrame, keys: list[str], order: list[str]) -> DataF
     return checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bool_and("_ok").alias("valid"))
 
 
+def audited(actor: str, action: str, workspace: str, detail: dict | None = None) -> str:
+    """The canonical body of an audit entry: JSON without blanks, sorted by key."""
+    return json.dumps({"action": action, "actor": actor, "detail": detail or {}, "workspace_id": workspace}, sort_keys=True, separators=(",", ":"))
+
+
+def create_workspace(workspace: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to append to ``workspaces``, the owner's rows to append to ``memberships``)."""
+    member = workspace.select(F.col("id").alias("workspace_id"), F.lit(owner).alias("user_id"), F.lit("OWNER").alias("role"), "created_at", "updated_at")
+    return workspace, member
+
+
+def revoke_keys(api_keys: DataFrame, ids: list[str], at: Column) -> DataFrame:
+    """Rows to append that revoke active keys."""
+    return active_keys(api_keys).where(F.col("id").isin(ids)).withColumn("revoked_at", at).withColumn("updated_at", at)
+
+
+def touch_keys(resolved: DataFrame, api_keys: DataFrame, at: Column) -> DataFrame:
+    """Rows to append that note when the keys in ``resolved`` (key_id) were last used."""
+    used = resolved.select(F.col("key_id").alias("id")).distinct()
+    return active_keys(api_keys).join(used, "id", "left_semi").withColumn("last_used_at", at).withColumn("updated_at", at)
+
+
+def by_key(table: DataFrame, keys: list[str], **values) -> DataFrame:
+    """The current row with these values of its columns, if there is one (a point lookup)."""
+    found = latest(table, keys)
+    for column, value in values.items():
+        found = found.where(F.col(column).eqNullSafe(F.lit(value)))
+    return found
+
+
+def tombstone(workspace: str, counts: DataFrame) -> DataFrame:
+    """The one audit entry that an erasure leaves: how many rows of which table went."""
+    kept = counts.agg(F.to_json(F.array_sort(F.collect_list(F.struct("table", "n")))).alias("detail"))  # a row a table
+    return kept.select(F.lit("system").alias("workspace_id"), F.lit("erase_workspace").alias("action"), F.concat_ws("|", F.sha2(F.lit(workspace), 256), "detail").alias("body"))
+
+
 def export_workspace(workspace: str, tables: dict[str, DataFrame]) -> DataFrame:
     """One row with a workspace's members, keys (no secrets), runs and audit entries as JSON arrays."""
     of = lambda t: tables[t].where(F.col("workspace_id") == workspace)

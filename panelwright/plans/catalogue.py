@@ -628,7 +628,8 @@ def capm_alpha_beta(spark, sf_dir):
 def var_shares(spark, sf_dir):
     joined = folio(spark, sf_dir).join(priced(spark, sf_dir).groupBy("date").agg(F.avg("ret").alias("MKT")), "date")
     fit = attribution.attribution(joined, joined.select("date", "MKT"), "capm", PPY)
-    return rounded(_one_row(spark, {"systematic": float(fit["systematic_share"]), "idiosyncratic": float(1 - fit["systematic_share"])}, "systematic double, idiosyncratic double"))
+    share = fit.get("systematic_share")  # none under 60 bars
+    return rounded(_one_row(spark, {"systematic": share and float(share), "idiosyncratic": share and float(1 - share)}, "systematic double, idiosyncratic double"))
 
 
 @register("ff6_attribution")
@@ -705,9 +706,11 @@ def audit_chain_fold(spark, sf_dir):
     return _chained(spark, sf_dir).select("user_id", "event_id", "hash")
 
 
-@register("audit_verify", "select user_id, count(*) as n, true as valid from events group by 1")
+@register("audit_verify", "select user_id, count(*) as n, not bool_or(event_id % 50 = 7) as valid from events group by 1")
 def audit_verify(spark, sf_dir):
-    return store.verify_chain(_chained(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+    """Chains of which some entries were changed after they were stored."""
+    forged = F.when(F.col("event_id") % 50 == 7, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    return store.verify_chain(_chained(spark, sf_dir).withColumn("body", forged), ["user_id"], ["ts", "event_id"])
 
 
 @register("topk_runs", "select event_id, user_id, event_type from events where user_id = 1 order by ts desc, event_id desc limit 20")

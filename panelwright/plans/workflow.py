@@ -15,7 +15,7 @@ from ..sources import synthetic
 
 # Bounds of a request.
 BOUNDS = {"periods": (120, 6000), "lookback": (5, 756), "cost_bps": (0.0, 200.0), "n_trials": (1, 100_000), "gross": (0.1, 3.0)}
-MAX_SYMBOLS, MAX_TICKER = 50, 12
+MAX_SYMBOLS, MAX_TICKER = 50, 10
 DEFAULTS = {"provider": "synthetic", "factor": "momentum", "periods": 1512, "lookback": 252, "skip": 21, "cost_bps": 5.0, "n_trials": 1, "gross": 1.0, "seed": 42, "start": "2015-01-02"}
 PRICE_FACTORS = ("momentum", "reversal", "lowvol", "blend")
 #: Public factor name -> (library name, orientation).

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import finite
+
 OBS_SCHEMA = "symbol string, period_end date, available_date date, metric string, value double"
 
 # Canonical metric -> vendor column, as the vendors' public documentation names them.
@@ -49,7 +51,7 @@ def unpivot_vendor(df: DataFrame, field_map: dict[str, str], symbol_col: str, pe
     number = lambda c: F.expr(f"try_cast(`{c}` as double)")
     wide = df.select(
         F.col(f"`{symbol_col}`").cast("string").alias("symbol"), day(period_end_col).alias("period_end"), day(available_date_col).alias("available_date"),
-        *[F.nanvl(number(c), F.lit(None)).alias(m) for m, c in present.items()],
+        *[finite(number(c)).alias(m) for m, c in present.items()],
     )
     return wide.unpivot(["symbol", "period_end", "available_date"], list(present), "metric", "value").dropna(subset=["period_end", "available_date", "value"])
 
@@ -108,5 +110,4 @@ def price_file(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
 
     reader = spark.read.option("header", True) if kind == "csv" else spark.read
     prices = reader.format(kind).schema("symbol string, date date, close double, volume double").load(path)
-    prices = prices.withColumn("close", F.nanvl("close", F.lit(None))).withColumn("volume", F.nanvl("volume", F.lit(None)))
     return drop_empty_dates(forward_fill(densify(prices, trading_calendar(prices)), "close"))

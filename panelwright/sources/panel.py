@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import by_symbol
+from ..functions.expressions import by_symbol, finite
 
 
 def calendar_of(dates: DataFrame, step: str = "interval 7 days") -> DataFrame:
@@ -22,7 +22,7 @@ def trading_calendar(dates: DataFrame) -> DataFrame:
 
 
 def densify(values: DataFrame, calendar: DataFrame) -> DataFrame:
-    """A row for each symbol and calendar date, left-joined to ``values`` (symbol, date, ...); adds sym_pos.
+    """A row for each symbol and calendar date, left-joined to ``values`` (symbol, date, ...), doubles finite or NULL; adds sym_pos.
 
     The calendar is one array of as many entries as there are dates, sent to every symbol; the grid is
     made by exploding it, so symbols stay partitioned and nothing is crossed by a join of two tables.
@@ -31,7 +31,8 @@ def densify(values: DataFrame, calendar: DataFrame) -> DataFrame:
     symbols = values.select("symbol").distinct()
     positions = symbols.select("symbol", F.row_number().over(Window.orderBy("symbol")).alias("sym_pos"))
     grid = positions.crossJoin(F.broadcast(days)).select("symbol", "sym_pos", F.explode("days").alias("day")).select("symbol", "sym_pos", "day.date", "day.seq")
-    return grid.join(values, ["symbol", "date"], "left")
+    known = values.select(*[finite(c).alias(c) if kind == "double" else F.col(c) for c, kind in values.dtypes])
+    return grid.join(known, ["symbol", "date"], "left")
 
 
 def forward_fill(panel: DataFrame, *columns: str, limit: int | None = None) -> DataFrame:

@@ -213,6 +213,8 @@ def test_ledger():
     same = [{**base, "lookback": "126"}, {**base, "lookback": 126.0}, {**base, "symbols": ["a", "B"]}, {**base, "n_trials": 99}]
     assert {guards.fingerprint(r) for r in same} == {guards.fingerprint(base)}
     assert guards.fingerprint({**base, "seed": 2}) != guards.fingerprint(base)
+    assert guards.fingerprint({**base, "factor": " momentum "}) == guards.fingerprint(base) and guards.canonical_number(" x ") == "x"
+    assert guards.canonical_symbols("a,b") == ["A,B"] and guards.canonical_symbols([None, " b", "a"]) == ["A", "B"] and guards.canonical_symbols(None) == []
     book = guards.TrialLedger()
     for k in (20, 40, 60, 80, 80):
         book.record({**base, "lookback": k})
@@ -227,6 +229,9 @@ def test_store(spark):
     assert all(r["valid"] for r in store.verify_chain(chained, ["workspace"], ["id"]).collect())
     bent = chained.withColumn("body", F.when((F.col("workspace") == 1) & (F.col("id") == 2), "forged").otherwise(F.col("body")))
     assert {r["workspace"]: r["valid"] for r in store.verify_chain(bent, ["workspace"], ["id"]).collect()} == {1: False, 2: True}
+    part = store.chain(e.where("id < 3"), ["workspace"], ["id"], F.col("body"))
+    rest = store.chain(e.where("id >= 3"), ["workspace"], ["id"], F.col("body"), after=part.where("id = 2"))
+    assert sorted(part.union(rest).collect()) == sorted(chained.collect())
     import hashlib
     import hmac
 
@@ -240,7 +245,12 @@ def test_store(spark):
     assert [r["key_id"] for r in store.resolve_keys(asked, keys).collect()] == ["k1"] and store.active_keys(keys).count() == 1
     tables = {"memberships": spark.createDataFrame([("w1", "u1", "OWNER", 1, 1)], "workspace_id string, user_id string, role string, created_at int, updated_at int"), "users": spark.createDataFrame([("u1", b"e", 1)], "id string, email_enc binary, updated_at int"), "api_keys": keys, "runs": e.limit(0).withColumn("workspace_id", F.lit("w1")), "audit_log": e.limit(0).withColumn("workspace_id", F.lit("w1"))}
     assert "k1" in store.export_workspace("w1", tables).first()["api_keys"]
+    revoked = store.revoke_keys(keys, ["k1"], F.lit(9))
+    assert store.active_keys(keys.unionByName(revoked)).count() == 0 and store.by_key(keys, ["id"], id="k2").first()["revoked_at"] == 5
+    _, member = store.create_workspace(spark.createDataFrame([("w2", 1, 1)], "id string, created_at int, updated_at int"), "u9")
+    assert member.first()["role"] == "OWNER" and store.audited("me", "x", "w") == '{"action":"x","actor":"me","detail":{},"workspace_id":"w"}'
     kept, gone = store.erase_workspace("w1", tables)
+    assert "api_keys" in store.tombstone("w1", gone).first()["body"] and "w1" not in store.tombstone("w1", gone).first()["body"]
     assert kept["memberships"].count() == 0 and {r["table"]: r["n"] for r in gone.collect()}["api_keys"] == 3
 
 
