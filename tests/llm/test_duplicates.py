@@ -336,4 +336,5 @@ def test_many_partners_of_one_document(spark, monkeypatch):
     passage = text(70)
     docs = [(i, " ".join([*text(20), *passage, *text(20)])) for i in range(30)]
     out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {x["a"] for x in out} | {x["b"] for x in out} == set(range(30)) and all(x["a_end"] - x["a_start"] == 70 for x in out)
+    whole = [x for x in out if x["a_end"] - x["a_start"] >= 70]
+    assert {x["a"] for x in whole} | {x["b"] for x in whole} == set(range(30)) and all(50 <= x["a_end"] - x["a_start"] <= 72 and x["identity"] >= 0.95 for x in out)
