@@ -279,6 +279,21 @@ def add_factors(panel: DataFrame, *names: str, bars: Bars = DAILY) -> DataFrame:
     return scored
 
 
+def add_scores(panel: DataFrame, variants: dict[str, tuple[str, Bars]]) -> DataFrame:
+    """``panel`` with a score column per variant (factor and look-backs): one window of each order for all of them."""
+    columns = panel.columns
+    panel = panel if "ret" in columns else panel.withColumn("ret", change("close"))
+    have = panel.columns
+    parts = lambda name: COMPOSITE[name][0] if name in COMPOSITE else (name,)
+    raw = panel.select("*", *[SIMPLE[s](lambda m: metric(have, m), bars).alias(f"_{v}_{s}") for v, (name, bars) in variants.items() for s in parts(resolve(name))])
+
+    def score(variant: str, name: str) -> Column:
+        z = lambda s, sign=1: zscore(F.col(f"_{variant}_{s}") * sign)
+        return COMPOSITE[name][1](z) if name in COMPOSITE else z(name, SIGN.get(name, 1))
+
+    return raw.select(*columns, *[score(v, resolve(name)).alias(v) for v, (name, _) in variants.items()])
+
+
 def add_score(panel: DataFrame, name: str, bars: Bars = DAILY, as_col: str = "score") -> DataFrame:
     """The factor as a score to rank by: oriented, z-scored if it is a simple factor."""
     scored = add_factors(panel, name, bars=bars)

@@ -75,49 +75,50 @@ def embargo_rows(n: int, share: float) -> int:
 
 
 def with_row(features: DataFrame) -> DataFrame:
-    """Rows numbered from 0 by date and symbol. The numbering is exact and distributed by date.
+    """Rows numbered from 0 by date and symbol, and ``n_rows``, how many there are. The numbering is exact and distributed by date.
 
     Rows before a date are summed on one row a date; within a date the order is by symbol position.
     """
     sizes = features.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("date", (F.sum("_n").over(Window.orderBy("date")) - F.col("_n")).alias("_before"))
+    before = sizes.select("date", (F.sum("_n").over(Window.orderBy("date")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n_rows"))
     return features.join(before, "date").withColumn("row", F.col("_before") + F.row_number().over(Window.partitionBy("date").orderBy("sym_pos")) - 1).drop("_before")
 
 
-def purged_folds(rows: DataFrame, n: int, n_folds: int = 5, embargo: float = 0.01) -> DataFrame:
+def _counted(rows: DataFrame, n: int | None, parts: int, embargo: float) -> tuple[DataFrame, Column]:
+    """(``rows`` with ``_skip``, the embargo in rows; the stretch of a row out of ``parts``): ``n`` rows, or as many as ``n_rows`` says."""
+    total = F.col("n_rows") if n is None else F.lit(n)
+    stretch = F.lit(parts - 1)
+    for k in reversed(range(parts - 1)):
+        stretch = F.when(F.col("row") < F.floor(total * (k + 1) / parts), k).otherwise(stretch)
+    return rows.withColumn("_skip", F.ceil(total * embargo)), stretch
+
+
+def purged_folds(rows: DataFrame, n: int | None = None, n_folds: int = 5, embargo: float = 0.01) -> DataFrame:
     """(fold, role, ...): each row of ``rows`` once per fold it tests in or trains for.
 
     Folds are equal stretches of rows. Training rows whose label interval meets the test rows' intervals
     or that follow them within the embargo are left out. The fold bounds are one row a fold.
     """
-    skip = embargo_rows(n, embargo)
-    ranges = [(k, n * k // n_folds, n * (k + 1) // n_folds) for k in range(n_folds)]
-    fold = F.lit(n_folds - 1)
-    for k, _, end in reversed(ranges[:-1]):
-        fold = F.when(F.col("row") < end, k).otherwise(fold)
+    rows, fold = _counted(rows, n, n_folds, embargo)
     spans = rows.groupBy(fold.alias("fold")).agg(F.min("label_start").alias("_s"), F.max("label_end").alias("_e"), F.min("row").alias("_lo"), F.max("row").alias("_hi"))
     paired = rows.crossJoin(F.broadcast(spans))
     test = (F.col("row") >= F.col("_lo")) & (F.col("row") <= F.col("_hi"))
     clear = (F.col("label_end") < F.col("_s")) | (F.col("label_start") > F.col("_e"))
-    after = (F.col("row") > F.col("_hi")) & (F.col("row") <= F.col("_hi") + skip)
-    return paired.withColumn("role", F.when(test, "test").when(clear & ~after, "train")).where("role is not null").drop("_s", "_e", "_lo", "_hi")
+    after = (F.col("row") > F.col("_hi")) & (F.col("row") <= F.col("_hi") + F.col("_skip"))
+    return paired.withColumn("role", F.when(test, "test").when(clear & ~after, "train")).where("role is not null").drop("_s", "_e", "_lo", "_hi", "_skip", "n_rows")
 
 
-def combinatorial_paths(rows: DataFrame, n: int, n_groups: int = 6, n_test: int = 2, embargo: float = 0.01) -> DataFrame:
+def combinatorial_paths(rows: DataFrame, n: int | None = None, n_groups: int = 6, n_test: int = 2, embargo: float = 0.01) -> DataFrame:
     """(path, role, ...): every choice of ``n_test`` of ``n_groups`` stretches as the test set, purged per stretch."""
-    skip = embargo_rows(n, embargo)
-    ends = [n * (k + 1) // n_groups for k in range(n_groups)]
-    group = F.lit(n_groups - 1)
-    for k in reversed(range(n_groups - 1)):
-        group = F.when(F.col("row") < ends[k], k).otherwise(group)
+    rows, group = _counted(rows, n, n_groups, embargo)
     grouped = rows.withColumn("group", group)
     spans = grouped.groupBy(F.col("group").alias("g")).agg(F.min("label_start").alias("s"), F.max("label_end").alias("e"), F.max("row").alias("hi"))
     bounds = spans.agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("s", "e", "hi")))).alias("spans"))
     paths = F.array(*[F.struct(F.lit(i).alias("path"), F.array(*map(F.lit, c)).alias("test")) for i, c in enumerate(combinations(range(n_groups), n_test))])
     each = grouped.crossJoin(F.broadcast(bounds)).withColumn("p", F.explode(paths))
-    blocked = F.expr(f"exists(p.test, g -> (label_start <= spans[g].e and spans[g].s <= label_end) or (row > spans[g].hi and row <= spans[g].hi + {skip}))")
+    blocked = F.expr("exists(p.test, g -> (label_start <= spans[g].e and spans[g].s <= label_end) or (row > spans[g].hi and row <= spans[g].hi + _skip))")
     role = F.when(F.expr("array_contains(p.test, group)"), "test").when(~blocked, "train")
-    return each.withColumns({"path": F.col("p.path"), "role": role}).where("role is not null").drop("p", "spans", "group")
+    return each.withColumns({"path": F.col("p.path"), "role": role}).where("role is not null").drop("p", "spans", "group", "_skip", "n_rows")
 
 
 # Combinatorially symmetric cross-validation.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,8 +62,9 @@ def fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit.place(fixtures.observations(spark, sf_dir), priced(spark, sf_dir), fixtures.weekly_calendar(spark, sf_dir), [*METRICS, *EXTRA_METRICS], 80)
 
 
-def n_bars(df: DataFrame) -> int:
-    return df.agg(F.max("seq")).first()[0]
+def n_bars(spark: SparkSession, sf_dir: str) -> int:
+    """Bars of the panel, counted on its calendar."""
+    return fixtures.weekly_calendar(spark, sf_dir).count()
 
 
 # Sources.
@@ -381,13 +384,19 @@ def _one_row(spark: SparkSession, values: dict, kinds: str) -> DataFrame:
     return spark.createDataFrame([tuple(values[n] for n in names)], kinds)
 
 
-@register("psr_dsr")
+# The normal distribution by its power series; quantiles of the expected best of 50 are constants.
+_PHI = lambda z: f"0.5 + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({z}) * list_sum(list_transform(range(0, 200), lambda i: exp(i * ln(greatest(({z}) * ({z}) / 2, 1e-300)) - lgamma(i + 1.5) + lgamma(1.5))))"
+_BEST = sum(w * NormalDist().inv_cdf(1 - 1 / (50 * e)) for w, e in ((1 - metrics.EULER_GAMMA, 1), (metrics.EULER_GAMMA, math.e)))
+
+
+@register("psr_dsr", S.query("folio", f"""select {S.r6(_PHI('s * w'))} as psr, {S.r6(_PHI(f'(s - sqrt((1 + s * s / 2) / (n - 1)) * {_BEST}) * w'))} as dsr from (select s, n, sqrt(n - 1.0::double) / sqrt(1 - g * s + (k + 2) / 4 * s * s) as w from
+  (select cast(count(net) as double) as n, {_SH} as s, {_G1} as g, kurtosis(net) as k from folio))"""))
 def psr_dsr(spark, sf_dir):
     m = metrics.moments(folio(spark, sf_dir), ppy=PPY).first()
-    return _one_row(spark, {
+    return rounded(_one_row(spark, {
         "psr": metrics.probabilistic_sharpe(m["sharpe_pp"], m["n"], m["skew"], m["kurtosis"]),
         "dsr": metrics.deflated_sharpe(m["sharpe_pp"], m["n"], m["skew"], m["kurtosis"], 50),
-    }, "psr double, dsr double")
+    }, "psr double, dsr double"))
 
 
 # Signal quality.
@@ -469,7 +478,7 @@ S.define("split2", "weights", _folded(f"cast(seq > floor({_BARS} * 0.7) as integ
 @register("split_backtest", S.query("split2", f"select fold, count(net) as n, {S.r6(f'({_SH}) * sqrt(52.0::double)')} as sharpe from split2 group by 1"))
 def split_backtest(spark, sf_dir):
     w = weighted(spark, sf_dir)
-    returns = out_of_sample.fold_returns(out_of_sample.with_split(w, n_bars(w)))
+    returns = out_of_sample.fold_returns(out_of_sample.with_split(w, n_bars(spark, sf_dir)))
     return rounded(metrics.moments(returns, ppy=PPY, keys=("fold",)).select("fold", "n", "sharpe"))
 
 
@@ -480,7 +489,7 @@ S.define("walk5", "weights", _folded(_FOLD5, f"seq - 1 - {_BARS} * fold // 5 < 3
 @register("walk_forward", S.query("walk5", f"select fold, count(net) as n, {S.r6(f'({_SH}) * sqrt(52.0::double)')} as sharpe from (select *, min(seq) over (partition by fold) as lo from walk5) where fold > 0 and seq >= lo + 31 group by 1"))
 def walk_forward(spark, sf_dir):
     w = weighted(spark, sf_dir)
-    returns = out_of_sample.fold_returns(out_of_sample.with_folds(w, n_bars(w), 5, 31), lead=31).where("fold > 0")
+    returns = out_of_sample.fold_returns(out_of_sample.with_folds(w, n_bars(spark, sf_dir), 5, 31), lead=31).where("fold > 0")
     return rounded(metrics.moments(returns, ppy=PPY, keys=("fold",)).select("fold", "n", "sharpe"))
 
 
@@ -510,8 +519,8 @@ S.define("spans5", "feats", _SPANS.format(f=_F5))
 @register("purged_kfold_sizes", S.query("spans5", """select fold, role, count(*) as n, cast(min(row) as bigint) as lo, cast(max(row) as bigint) as hi from (select p.fold, f.row, case when f.row between p.lo and p.hi then 'test'
   when (f.label_end < p.s or f.label_start > p.e) and not (f.row > p.hi and f.row <= p.hi + ceil((select count(*) from feats) * 0.02::double)) then 'train' end as role from feats f cross join spans5 p) where role is not null group by 1, 2"""))
 def purged_kfold_sizes(spark, sf_dir):
-    rows = features(spark, sf_dir).select("row", "label_start", "label_end")
-    folds = out_of_sample.purged_folds(rows, rows.count(), 5, 0.02)
+    rows = features(spark, sf_dir).select("row", "n_rows", "label_start", "label_end")
+    folds = out_of_sample.purged_folds(rows, None, 5, 0.02)
     return folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("row").cast("long").alias("lo"), F.max("row").cast("long").alias("hi"))
 
 
@@ -524,8 +533,8 @@ _BLOCKED = "((f.label_start <= {p}.e and {p}.s <= f.label_end) or (f.row > {p}.h
 @register("cpcv_paths", S.query("spans4", f"""select path, role, count(*) as n from (select path, case when f.row between a.lo and a.hi or f.row between b.lo and b.hi then 'test' when not {_BLOCKED.format(p='a')} and not {_BLOCKED.format(p='b')} then 'train' end as role
   from feats f cross join (values {_PATHS}) paths(path, g, h) join spans4 a on a.fold = g join spans4 b on b.fold = h) where role is not null group by 1, 2"""))
 def cpcv_paths(spark, sf_dir):
-    rows = features(spark, sf_dir).select("row", "label_start", "label_end")
-    return out_of_sample.combinatorial_paths(rows, rows.count(), 4, 2, 0.01).groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
+    rows = features(spark, sf_dir).select("row", "n_rows", "label_start", "label_end")
+    return out_of_sample.combinatorial_paths(rows, None, 4, 2, 0.01).groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("embargo_sizes", "select n, cast(ceil(n * 0.02::double) as bigint) as rows from (select unnest([0, 1, 50, 1000, 12345]) as n)")
@@ -573,12 +582,12 @@ S.define("logits", "cscv", f"""select *, ln(rel / (1 - rel)) as logit from (sele
 @register("pbo_block_moments", S.query("blk", f"select config, block, {S.r6('total')} as total, {S.r6('squares')} as squares, n from blk"))
 def pbo_block_moments(spark, sf_dir):
     returns = grid(spark, sf_dir)
-    return rounded(out_of_sample.block_moments(returns, n_bars(returns)))
+    return rounded(out_of_sample.block_moments(returns, n_bars(spark, sf_dir)))
 
 
 def _logits(spark, sf_dir):
     returns = grid(spark, sf_dir)
-    return out_of_sample.cscv_logits(out_of_sample.block_moments(returns, n_bars(returns)), ppy=PPY)
+    return out_of_sample.cscv_logits(out_of_sample.block_moments(returns, n_bars(spark, sf_dir)), ppy=PPY)
 
 
 @register("cscv_logits", S.query("logits", f"select combo, config, {S.r6('is_sharpe')} as is_sharpe, {S.r6('oos_sharpe')} as oos_sharpe, {S.r6('rel')} as rel, {S.r6('logit')} as logit from logits"))
@@ -731,9 +740,14 @@ def role_authorisation(spark, sf_dir):
     return store.allowed(asked, rows, "ADMIN").select("user_id", "workspace_id")
 
 
-@register("rate_limiter")
+_LOG = "list_filter(c.log, lambda x: x > e.ts - interval 1 day)"
+
+
+@register("rate_limiter", f"""with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+  c as (select user_id, event_id, ts, k, true as admitted, [ts] as log from e where k = 1 union all select e.user_id, e.event_id, e.ts, e.k, len({_LOG}) < 10, case when len({_LOG}) < 10 then list_append({_LOG}, e.ts) else {_LOG} end from c join e on e.user_id = c.user_id and e.k = c.k + 1)
+  select user_id, event_id, ts, admitted from c""")
 def rate_limiter(spark, sf_dir):
-    return streams.rate_limited(fixtures.read(spark, sf_dir, "events"), 10, 86_400.0)
+    return streams.rate_limited(fixtures.read(spark, sf_dir, "events"), 10, 86_400.0).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 # Text.
@@ -797,7 +811,7 @@ def ladder_leaderboard(spark, sf_dir):
     from ..operators.models import compare
 
     rows = features(spark, sf_dir).persist()
-    folds = out_of_sample.purged_folds(rows, rows.count(), 3, 0.01).persist()
+    folds = out_of_sample.purged_folds(rows, None, 3, 0.01).persist()
     board = compare(folds, ["x1", "x2", "x3"], 3, ["lasso", "elastic_net"], PPY)["leaderboard"]
     folds.unpersist()
     rows.unpersist()

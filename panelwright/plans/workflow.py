@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, forward_return, zscore
-from ..functions.factors import EXTRA_METRICS, METRICS, Bars, add_factors, add_score
+from ..functions.factors import EXTRA_METRICS, METRICS, Bars, add_factors, add_score, add_scores
 from ..operators import attribution, guards, metrics, models, out_of_sample, portfolio, signal_quality
 from ..sources import synthetic
 
@@ -65,14 +65,17 @@ def effective_lookback(factor: str, lookback: int) -> int:
     return min(lookback, CAPS.get(factor, lookback))
 
 
-def price_score(panel: DataFrame, factor: str, lookback: int, skip: int, ppy: int = 252) -> DataFrame:
-    """``panel`` with ``score`` of a price factor."""
+def price_factor(factor: str, lookback: int, skip: int, ppy: int = 252) -> tuple[str, Bars]:
+    """The library's name and look-backs of a public price factor."""
     used = effective_lookback(factor, lookback)
     if factor == "blend":
-        bars = Bars(year=ppy, momentum=lookback, skip=skip, volatility=min(lookback, CAPS["lowvol"]), reversal=21)
-        return add_score(panel, "blend_price", bars)
-    bars = Bars(year=ppy, momentum=lookback, skip=skip, volatility=used, reversal=used)
-    return add_score(panel, {"momentum": "momentum", "reversal": "short_term_reversal", "lowvol": "trailing_volatility"}[factor], bars)
+        return "blend_price", Bars(year=ppy, momentum=lookback, skip=skip, volatility=min(lookback, CAPS["lowvol"]), reversal=21)
+    return {"momentum": "momentum", "reversal": "short_term_reversal", "lowvol": "trailing_volatility"}[factor], Bars(year=ppy, momentum=lookback, skip=skip, volatility=used, reversal=used)
+
+
+def price_score(panel: DataFrame, factor: str, lookback: int, skip: int, ppy: int = 252) -> DataFrame:
+    """``panel`` with ``score`` of a price factor."""
+    return add_score(panel, *price_factor(factor, lookback, skip, ppy))
 
 
 def load(spark: SparkSession, p: dict, tables: dict[str, DataFrame] | None) -> DataFrame:
@@ -88,7 +91,7 @@ def load(spark: SparkSession, p: dict, tables: dict[str, DataFrame] | None) -> D
         raise RequestError("fundamental factors need at least 400 periods")
     from ..operators.point_in_time import place
 
-    world = synthetic.synthetic_world(spark, symbols, p["periods"], p["start"], p["seed"]).persist()
+    world = synthetic.synthetic_world(spark, symbols, p["periods"], p["start"], p["seed"])
     if FUNDAMENTAL_FACTORS[p["factor"]][0].startswith(("ratio", "value_quality")):
         obs, names = synthetic.synthetic_observations(world, seed=p["seed"]), ["roe", "gross_profitability", "leverage", "eps_ttm", "bvps", "sps"]
     else:
@@ -117,6 +120,8 @@ def run_backtest(spark: SparkSession, request: dict, ledger: guards.TrialLedger
     p = validate(request)
     price = p["factor"] in PRICE_FACTORS
     panel = load(spark, p, tables)
+    own = not panel.is_cached  # a given table that is cached already stays so
+    panel = panel.persist() if own else panel
     if price:
         scored = price_score(panel, p["factor"], p["lookback"], p["skip"], ppy)
     else:
@@ -157,6 +162,8 @@ def run_backtest(spark: SparkSession, request: dict, ledger: guards.TrialLedger
     finally:
         weights.unpersist()
         returns.unpersist()
+        if own:
+            panel.unpersist()
 
 
 def overfitting(panel: DataFrame, p: dict, n_bars: int, ppy: int = 252) -> dict:
@@ -165,11 +172,10 @@ def overfitting(panel: DataFrame, p: dict, n_bars: int, ppy: int = 252) -> dict:
     looks = sorted({min(cap, max(5, round(base * f))) for f in (0.4, 0.6, 0.8, 1.0, 1.3)})
     if len(looks) < 2 or n_bars < 16:
         return {"error": "fewer than two configurations or too few bars"}
-    joined = None
+    weighted = add_scores(panel, {f"s{k}": price_factor(p["factor"], k, min(p["skip"], k - 1), ppy) for k in looks})
     for k in looks:
-        one = portfolio.add_weights(price_score(panel, p["factor"], k, min(p["skip"], k - 1), ppy), gross=p["gross"], as_col=f"w{k}").select("symbol", "date", "seq", "close", f"w{k}")
-        joined = one if joined is None else joined.join(one.select("symbol", "seq", f"w{k}"), ["symbol", "seq"])
-    returns = out_of_sample.grid_returns(joined, {f"w{k}": f"w{k}" for k in looks}, p["cost_bps"])
+        weighted = portfolio.add_weights(weighted, f"s{k}", p["gross"], f"w{k}")
+    returns = out_of_sample.grid_returns(weighted, {f"w{k}": f"w{k}" for k in looks}, p["cost_bps"])
     logits = out_of_sample.cscv_logits(out_of_sample.block_moments(returns, n_bars), ppy=ppy).persist()
     try:
         out = out_of_sample.pbo(logits).first().asDict()
@@ -191,7 +197,7 @@ def run_model_comparison(panel: DataFrame, features: list[str], horizon: int = 2
     kept = z.where(F.col("y").isNotNull() & F.col("label_end").isNotNull() & F.coalesce(*features).isNotNull()).fillna(0.0, features)
     rows = out_of_sample.with_row(kept).persist()
     try:
-        folds = out_of_sample.purged_folds(rows, rows.count(), n_folds, embargo).persist()
+        folds = out_of_sample.purged_folds(rows, None, n_folds, embargo).persist()
         out = models.compare(folds, features, n_folds, names, bars.year)
         folds.unpersist()
     finally:

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -45,10 +47,13 @@ def first_seen(events: DataFrame, keys: list[str], watermark: str = "1 day") ->
     return timed.dropDuplicatesWithinWatermark(keys) if events.isStreaming else timed.dropDuplicates(keys)
 
 
-def admit(times: list[float], admitted: list[float], limit: int, period: float) -> tuple[list[bool], list[float]]:
-    """A sliding log: a hit passes if fewer than ``limit`` were admitted in the ``period`` before it."""
+def admit(times: list, admitted: list, limit: int, period: float) -> tuple[list[bool], list]:
+    """A sliding log: a hit passes if fewer than ``limit`` were admitted in the ``period`` before it; one without a time never does."""
     out = []
     for t in times:
+        if t is None:
+            out.append(False)
+            continue
         admitted = [a for a in admitted if a > t - period]
         ok = len(admitted) < limit
         out.append(ok)
@@ -57,27 +62,41 @@ def admit(times: list[float], admitted: list[float], limit: int, period: float)
     return out, admitted
 
 
-def rate_limited(events: DataFrame, limit: int = 10, period: float = 3600.0, key: str = "user_id") -> DataFrame:
+def rate_limited(events: DataFrame, limit: int = 10, period: float = 3600.0, key: str = "user_id", watermark: str = "1 hour") -> DataFrame:
     """(key, event_id, ts, admitted): whether each hit passes depends on those that passed before.
 
-    A batch goes through a key's hits in order; a stream keeps at most ``limit`` times a key as state.
+    A batch goes through a key's hits in order, row by row; a stream keeps them as state. Either holds at most ``limit``
+    times a key. A stream drops hits later than the watermark, and forgets a key once none of its hits can count any more.
     """
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, event_id long, ts timestamp, admitted boolean"
-    timed = events.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"))
-
-    def judge(rows: pd.DataFrame, before: list[float]) -> tuple[pd.DataFrame, list[float]]:
-        rows = rows.sort_values(["ts", "event_id"])
-        seconds = (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        ok, kept = admit(seconds, before, limit, period)
-        return rows.assign(admitted=ok)[[key, "event_id", "ts", "admitted"]], kept
+    timed = _timed(events, watermark).select(key, "event_id", "ts", F.unix_micros("ts").alias("us"))
+    schema = T.StructType([*timed.schema.fields[:3], T.StructField("admitted", T.BooleanType())])
+    span = int(period * 1_000_000)
 
     if not events.isStreaming:
-        return timed.groupBy(key).applyInPandas(lambda rows: judge(rows, [])[0], schema)
 
-    def step(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = list(state.get[0]) if state.exists else []
-        out, kept = judge(pd.concat(list(batches)), before)
-        state.update((kept,))
-        yield out
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, log = object(), []
+            for batch in batches:
+                out = []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if k != last:
+                        last, log = k, []
+                    (ok,), log = admit([t], log, limit, span)
+                    out.append(ok)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.bool_())], [key, "event_id", "ts", "admitted"])
 
-    return timed.groupBy(key).applyInPandasWithState(step, schema, "admitted array<double>", "append", GroupStateTimeout.NoTimeout)
+        return timed.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInArrow(judge, schema)
+
+    def step(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        times = [None if pd.isna(t) else int(t) for t in rows["us"]]
+        ok, kept = admit(times, list(state.get[0]) if state.exists else [], limit, span)
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max((max(kept) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.assign(admitted=ok)[[key, "event_id", "ts", "admitted"]]
+
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

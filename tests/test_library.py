@@ -341,3 +341,42 @@ def test_lint_and_ranges(spark, wide):
 def test_equity_heuristic(spark):
     assert [round(r["equity"], 6) for r in metrics.to_equity(series(spark, [0.1, -0.5])).orderBy("seq").collect()] == [1.1, 0.55]
     assert [r["equity"] for r in metrics.to_equity(series(spark, [2.0, 3.0])).orderBy("seq").collect()] == [2.0, 3.0]
+
+
+@pytest.mark.parametrize("name, options", [
+    ("lasso", {}), ("elastic_net", {}), ("random_forest", {"trees": 10, "leaf": 5}), ("xgboost", {"rounds": 10, "eta": 0.2}), ("lightgbm", {"rounds": 10, "rate": 0.2, "leaf": 5}),
+    ("mlp", {"epochs": 200}), ("stacking", {"folds": 2, "rounds": 3}),
+])
+def test_every_model_learns_a_planted_line(spark, name, options):
+    rows = spark.range(600).select(F.col("id").alias("row"), (F.pmod("id", F.lit(29)) / 14.5 - 1).alias("x1"), (F.pmod(F.col("id") * 7, F.lit(31)) / 15.5 - 1).alias("x2")).withColumn("y", F.lit(0.5) * F.col("x1") - F.lit(0.2) * F.col("x2")).coalesce(1).persist()
+    fitted = models.make_model(name, **options)(rows.where("row < 450"), ["x1", "x2"])
+    told = fitted.transform(rows.where("row >= 450"))
+    assert told.count() == 150 and told.agg(F.corr("prediction", "y")).first()[0] > 0.8
+    rows.unpersist()
+
+
+def test_model_comparison(spark):
+    world = synthetic.synthetic_world(spark, [f"S{i}" for i in range(8)], 160, seed=3, drift=0.01)
+    bars = factors.Bars(momentum=10, skip=1, volatility=10, reversal=5)
+    doc = workflow.run_model_comparison(world, ["momentum", "short_term_reversal"], horizon=5, n_folds=3, names=["lasso"], bars=bars)
+    assert {r["model"] for r in doc["leaderboard"]} == {"elastic_net", "lasso"} and doc["n_folds"] == 3 and set(doc["coefficients"]) == {"momentum", "short_term_reversal"}
+    assert all(r["n_dates"] > 100 and -1 <= r["rank_ic"] <= 1 for r in doc["leaderboard"])
+    with pytest.raises(workflow.RequestError):
+        workflow.run_model_comparison(world, [], 5)
+
+
+def test_scores_of_many_look_backs_are_the_single_ones(spark):
+    world = synthetic.price_panel(spark, [f"S{i}" for i in range(5)], 130, seed=4)
+    for factor in workflow.PRICE_FACTORS:
+        many = factors.add_scores(world, {f"s{k}": workflow.price_factor(factor, k, 2) for k in (8, 20)})
+        for k in (8, 20):
+            one = workflow.price_score(world, factor, k, 2).select("symbol", "seq", "score")
+            assert many.join(one, ["symbol", "seq"]).where(~F.col(f"s{k}").eqNullSafe(F.col("score"))).isEmpty()
+
+
+def test_rate_limit_by_hand(spark):
+    rows = [(1, 1, 0), (1, 2, 5), (1, 3, 9), (1, 4, 10), (1, 5, 16), (None, 6, 3), (2, 7, None), (2, 8, 4)]
+    hits = spark.createDataFrame(rows, "user_id long, event_id long, s long").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"))
+    got = {r["event_id"]: r["admitted"] for r in streams.rate_limited(hits, 2, 10.0).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True}
+    assert streams.rate_limited(hits.where("false"), 2, 10.0).count() == 0
