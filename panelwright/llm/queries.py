@@ -113,6 +113,7 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.expr("aggregate(segments, 0D, (t, s) -> t + s.end_s - s.start_s)"), 2),
             F.sha2("tensors", 256),
         ).alias("feature"),
+        F.array_join(F.transform("segments", lambda s: F.concat_ws("-", s["start_s"], s["end_s"])), ",").alias("segments"),
     )
 
 

@@ -218,6 +218,53 @@ def test_audio_parts(spark):
     assert A.audio_features(empty_documents(spark)).count() == 0
 
 
+def slow_features(payload):
+    """Log-mels and energies from their definitions, in Python integers; a sum may start at any place."""
+    n_out = -(-len(payload) * A.UP // A.DOWN)
+    n = max(1, -(-n_out // A.HOP))
+    taps, window, filters = (x.astype(int).tolist() for x in (A.BRANCHES, A.WINDOW, A.FILTERS))
+    zeros = [128] * (2 * A.TAPS)
+    padded = zeros + list(payload) + [128] * (A.FRAME * 2 + A.TAPS * 2)
+    y = []
+    for m in range((n - 1) * A.HOP + A.FRAME):
+        at, phase = divmod(m * A.DOWN, A.UP)
+        low = at - A.TAPS // 2 + len(zeros)
+        total = sum((padded[low + A.TAPS - 1 - j] - 128) * taps[phase][j] for j in range(A.TAPS))
+        y.append(total >> (A.TAP + 7 - A.SAMPLE))
+    log = lambda v: math.log2(v)
+    mels, energy = [], []
+    for f in range(n):
+        frame = [v * w >> A.WIN for v, w in zip(y[f * A.HOP :], window, strict=False)]
+        power = []
+        for k in range(A.FRAME // 2 + 1):
+            turn = [2 * math.pi * k * i / A.FRAME for i in range(A.FRAME)]
+            parts = [sum(v * round(wave(t) * 2**A.TURN) for v, t in zip(frame, turn, strict=True)) for wave in (math.cos, math.sin)]
+            power.append(sum((p >> (A.SAMPLE + A.TURN - A.SPECTRUM)) ** 2 for p in parts))
+        mels.append([log(sum(p * filters[k][b] for k, p in enumerate(power)) + 2**A.MEL_FLOOR) - 2 * A.SPECTRUM - A.MEL for b in range(A.MELS)])
+        energy.append((log(sum(v * v for v in frame) + 2**A.ENERGY_FLOOR) - 2 * A.SAMPLE) * A.DB)
+    return np.array(mels), np.array(energy)
+
+
+@pytest.mark.parametrize("text", ["", "a" * 300, "The quick brown fox jumps over the lazy dog. " * 12, "".join(map(chr, range(32, 900)))])
+def test_features_against_definitions(text):
+    payload = A.payload_of(text)
+    mels, energy = A.features(np.frombuffer(payload, np.uint8))
+    slow_mels, slow_energy = slow_features(payload)
+    step = 2.0**-A.LOG  # of which logarithms are whole multiples
+    assert mels.shape == slow_mels.shape and np.abs(mels - slow_mels).max() < step and np.abs(energy - slow_energy).max() < step * A.DB
+    assert np.array_equal(mels * 2**A.LOG, np.rint(mels * 2**A.LOG))
+
+
+def test_fixed_values_do_not_hang_on_the_machine():
+    """No table entry lies so near the middle between two whole numbers that the last bits of a sine decide it."""
+    angles = 2 * np.pi / A.FRAME * np.arange(A.FRAME)
+    for values, places in ((A.prototype(), A.TAP), (A.filterbank(), A.MEL), (np.hanning(A.FRAME + 1), A.WIN), (np.cos(angles), A.TURN), (np.sin(angles), A.TURN), (A.octave(), A.LOG)):
+        assert np.abs(np.abs(values * 2.0**places % 1 - 0.5)).min() > 1e-9
+    loud = np.where(np.arange(9000) // 9 % 2, 255, 0).astype(np.uint8)
+    frames = np.lib.stride_tricks.sliding_window_view(A.resample(loud, 0, 4000), A.FRAME)
+    assert np.abs(frames).max() < 2 ** (A.SAMPLE + 1) and (A.spectrum(frames) @ A.FILTERS).max() < 2.0**53
+
+
 def slow_mix(docs, repetition, budget, block_tokens, seed=0):
     """The mixture written as loops; docs: id -> (source, tokens)."""
     key = lambda *p: int(hashlib.md5("-".join(map(str, p)).encode()).hexdigest()[:13], 16)
