@@ -23,6 +23,7 @@ def brand_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weeks from the first to the last sale; one column is read, and only its bounds are shuffled."""
     sold = read(spark, sf_dir, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
     return calendar_of(sold)
 
@@ -30,7 +31,7 @@ def weekly_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full grid with raw prices carried forward and volume 0 where nothing was sold."""
     weeks = brand_weeks(spark, sf_dir)
-    grid = densify(weeks, calendar_of(weeks)).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+    grid = densify(weeks, weekly_calendar(spark, sf_dir)).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     return forward_fill(grid, "raw")
 
 
