@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, decontaminate, html_extract, language_id, license_scan, mixing, passages, secret_scan, simhash, token_counts
+from . import audio_features, decontaminate, html_extract, language_id, license_scan, mixing, passages, prefix_trie, secret_scan, simhash, token_counts, vector_codes
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -159,7 +159,91 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+with turns as (
+  select cast(conv_id as bigint) as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), convs as (
+  select c, list({'role': role, 'text': text} order by turn nulls first, sha256(length(role) || ':' || role || text)) as own from turns group by c
+), sums as (
+  -- CRC-32 bit by bit: each byte comes with seven zeros, and every entry shifts once
+  select c, own, c - c % 100 as base,
+    xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(c as varchar), ''), lambda x: [cast(ascii(x) as bigint), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, x: xor(xor(a, x) >> 1, 3988292384::bigint * (xor(a, x) & 1))), 4294967295::bigint) % 6 as h
+  from convs
+), paths as (
+  select s.c, list_concat(coalesce(list_slice(b.own, 1, s.h), []), list_slice(s.own, s.h + 1, len(s.own))) as path
+  from sums s left join convs b on b.c = s.base
+), prefixes as (
+  select c, unnest(generate_series(0, len(path))) as depth, path, len(path) as n from paths
+), visits as (
+  select c, depth, n, list_slice(path, 1, depth) as prefix, list_slice(path, 1, depth - 1) as above, case when depth > 0 then length(path[depth].text) else 0 end as chars from prefixes
+), nodes as (
+  select depth, prefix, min(c) as conv_id, count(distinct c) as n_convs, any_value(above) as above, any_value(chars) as chars, max(n) > depth as has_child,
+    sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (n = depth), '')) as ends_sha256
+  from visits group by depth, prefix
+), numbered as (select *, row_number() over () as node from nodes),
+up as (
+  -- each node with every node of its path
+  select v.node as top, b.node as below from (select n.node, v.c, n.depth from numbered n join visits v using (depth, prefix)) v
+  join (select n.node, v.c, n.depth from numbered n join visits v using (depth, prefix)) b on v.c = b.c and b.depth >= v.depth group by 1, 2
+), totals as (
+  select top as node, count(*) filter (not b.has_child) as n_leaves, cast(sum((b.n_convs - 1) * b.chars) as bigint) as saved_tokens from up join numbered b on b.node = up.below group by 1
+), children as (select p.node, count(*) as n_children from numbered k join numbered p on k.depth = p.depth + 1 and k.above = p.prefix group by 1)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+from numbered n left join numbered p on n.depth = p.depth + 1 and n.above = p.prefix left join children k on k.node = n.node join totals t on t.node = n.node
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"), "label"
+    )
+
+
+def _op13_sql(rounds: int = 2) -> str:
+    """Each round as two named queries: the nearest entries, then the floors of their parts' means."""
+    far = "list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] - b.entry[i]) * (x[i] - b.entry[i])))"
+    near = "select row, p, arg_min(e, {{'d': d, 'e': e}}) as e, min(d) as d from (select row, parts.p, b.e, " + f"coalesce({far}, 0)" + " as d from parts join books{k} b on b.p = parts.p) group by row, p"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"near{k} as ({near.format(k=k)})")
+        steps.append(
+            f"""books{k + 1} as (
+  select p, e, coalesce(m.entry, b.entry) as entry from books{k} b left join (
+    select p, e, list(cast(floor(s / n) as bigint) order by i) as entry from (
+      select p, e, i, sum(x[i]) as s, count(*) as n from (select p, e, x, unnest(generate_series(1, len(x))) as i from near{k} join parts using (row, p)) group by p, e, i
+    ) group by p, e
+  ) m using (p, e)
+)"""
+        )
+    steps.append(f"near{rounds} as ({near.format(k=rounds)})")
+    return f"""
+with kept as (
+  select vec_id, label, row_number() over (order by vec_id nulls last, embedding) - 1 as row, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as (
+  select row, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) as x from (select row, v, unnest(generate_series(0, 15)) as p from kept)
+), books0 as (select p, row as e, x as entry from parts where row < 64),
+{", ".join(steps)},
+coded as (
+  select row, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from near{rounds} group by row
+), named as (select vec_id, label, code, error from coded join kept using (row)),
+sums as (select label, cast(sum(error) as bigint) as label_error from named group by label)
+select vec_id, code, error, label_error, (select sha256(string_agg(array_to_string(entry, ','), ',' order by p, e)) from books{rounds}) as codebooks_sha256, named.label
+from named join sums on named.label is not distinct from sums.label
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_passages, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op8_license_scan, op9_token_counts, op10_html_extract)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_audio_features, op3_passages, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op8_license_scan, op9_token_counts, op10_html_extract,
+        op12_conversation_trie, op13_vector_codes,
+    )
 }
-ORACLES: dict[str, str] = {"op6_temperature_mix": OP6_SQL, "op7_decontaminate": OP7_SQL}
+ORACLES: dict[str, str] = {"op6_temperature_mix": OP6_SQL, "op7_decontaminate": OP7_SQL, "op12_conversation_trie": OP12_SQL, "op13_vector_codes": _op13_sql()}
