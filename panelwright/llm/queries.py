@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, decontaminate, html_extract, language_id, license_scan, mixing, passages, prefix_trie, secret_scan, simhash, token_counts, vector_codes
+from . import audio_features, decontaminate, html_extract, language_id, license_scan, mixing, passages, prefix_trie, quality, secret_scan, simhash, token_counts, vector_codes
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -159,6 +159,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~quality.held_out("id"))
+    return scored.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -243,7 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_audio_features, op3_passages, op4_simhash, op5_language_id, op6_temperature_mix, op7_decontaminate, op8_license_scan, op9_token_counts, op10_html_extract,
-        op12_conversation_trie, op13_vector_codes,
+        op11_quality, op12_conversation_trie, op13_vector_codes,
     )
 }
 ORACLES: dict[str, str] = {"op6_temperature_mix": OP6_SQL, "op7_decontaminate": OP7_SQL, "op12_conversation_trie": OP12_SQL, "op13_vector_codes": _op13_sql()}
