@@ -38,9 +38,8 @@ CACHE, CACHED_CHARS = 600_000, 64
 TOKEN = 256
 #: Code points with the Unicode property White_Space (fixed values).
 SPACES = "\t-\r \x85\xa0  -     　"
-#: White space of two or more characters before something else.
-RUN = re.compile(rf"[{SPACES}]{{2,}}(?=[^{SPACES}])")
-
+#: White space of two or more characters before something else; tried at a run's start only and whole, so in linear time.
+RUN = re.compile(rf"(?<![{SPACES}])[{SPACES}]{{2,}}+(?=[^{SPACES}])")
 
 
 @functools.cache

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,15 @@ def test_op9_against_the_library(spark):
         assert r["n_tokens"] == n and r["n_bytes"] == len((d["text"] or "").encode()) and r["over_limit"] == (n > 512)
 
 
+@pytest.mark.parametrize("blanks", [" " * 1_000_000, "\t" * 1_000_000, "\n" * 1_000_000, " \n\t\u3000" * 250_000])
+@pytest.mark.parametrize("after", ["", " word"])
+def test_long_runs_of_blanks_take_linear_time(blanks, after):
+    began, text = time.process_time(), "word" + blanks + after
+    steps = T.counter(Q.TOKENIZER).encode_steps(text)
+    assert time.process_time() - began < 20
+    assert T.count_at(steps, len(steps)) == library(text)
+
+
 def test_prefix_tables_on_odd_documents(spark):
     rows = T.prefix_token_counts(odd_documents(spark), Q.TOKENIZER).collect()
     docs = [r["text"] or "" for r in odd_documents(spark).collect()]
