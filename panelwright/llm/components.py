@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, cut_lineage
+from .common import Written, apart
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -23,20 +23,23 @@ def _star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of ``edges`` (a, b) with the smallest node reachable from it.
 
-    Self loops and repeated edges are harmless; an empty edge table gives an empty result.
+    Self loops and repeated edges are harmless; an empty edge table gives an empty result. Each round's table is written
+    to the shared folder and read again, as a checkpoint would hand on its plan's constraints, whose number grows with the
+    rounds; a table is removed once the next is written, and the last stays, as the result reads it.
     """
-    now = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
+    written = Written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
+        now = written.df
         # u > v throughout. Large star: larger neighbours of u go to the least of its whole neighbourhood.
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours go to the least of them.
         star = _star(large)
         small = star.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = cut_lineage(small)
+        before, written = written, Written(small, "edges")
+        before.remove()
+        now = written.df
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

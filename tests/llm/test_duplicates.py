@@ -4,6 +4,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -338,3 +340,44 @@ def test_many_partners_of_one_document(spark, monkeypatch):
     out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     whole = [x for x in out if x["a_end"] - x["a_start"] >= 70]
     assert {x["a"] for x in whole} | {x["b"] for x in whole} == set(range(30)) and all(50 <= x["a_end"] - x["a_start"] <= 72 and x["identity"] >= 0.95 for x in out)
+
+
+@pytest.mark.parametrize("length", [100, 300, 1000])
+def test_versions_of_a_text(spark, length):
+    """Chains and trees of edits, each of 1.5 % of the words of an earlier version: 98 % of the links of all pairs, at least."""
+    r = random.Random(length)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    families = []
+    for kind in ("chain", "tree") * 3:
+        family = [[word() for _ in range(length)]]
+        for _ in range(40):
+            version = list(family[-1] if kind == "chain" else r.choice(family))
+            for k in r.sample(range(length), max(1, round(0.015 * length))):
+                version[k] = word()
+            family.append(version)
+        r.shuffle(family)
+        families.append(family)
+    docs = {41 * f + k: " ".join(v) for f, family in enumerate(families) for k, v in enumerate(family)}
+    got = {x["doc_id"]: x["component"] for x in N.similar_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    sets = {i: N.shingles(t, 5) for i, t in docs.items()}
+    links = [(i, j) for f in range(len(families)) for i in range(41 * f, 41 * f + 41) for j in range(41 * f, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 200 and sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
+    want = slow_similar(docs)
+    assert all(want[i] == want[c] for i, c in got.items())  # and no class joins what links don't
+
+
+def test_rows_that_meet_across_tasks():
+    """Neighbours are found whatever the batches and tasks that the ordered rows are dealt to."""
+    rng = np.random.default_rng(4)
+    rows = sorted((int(b), bytes(m), int(k)) for b, m, k in zip(rng.integers(0, 5, 60), rng.integers(0, 2, (60, N.BANDS * N.ROWS), dtype=np.uint8), range(60), strict=True))
+    batch = lambda part: pa.RecordBatch.from_pylist([dict(zip(("band", "turned", "key"), x, strict=True)) for x in part], pa.schema([("band", pa.int64()), ("turned", pa.binary()), ("key", pa.int64())]))
+
+    def met(tasks):
+        out = [r for task in tasks for b in N._meet([batch(p) for p in task]) for r in b.to_pylist()]
+        pairs = {(r["a"], r["b"], r["equal"]) for r in out if r["a"] is not None}
+        ends = sorted({(r["band"], r["turned"], r["key"]) for r in out if r["a"] is None})
+        return pairs | {(r["a"], r["b"], r["equal"]) for b in N._meet([batch(ends)]) for r in b.to_pylist() if r["a"] is not None}
+
+    whole = met([[rows]])
+    assert whole == met([[rows[:7], [], rows[7:]]]) and len(whole) > 10
+    assert whole <= met([[rows[:20]], [rows[20:22], rows[22:40]], [], [rows[40:]]])
