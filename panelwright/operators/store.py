@@ -9,6 +9,7 @@ import hashlib
 import json
 import secrets
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -122,9 +123,10 @@ def chain(entries: DataFrame, keys: list[str], order: list[str], body: Column, a
 
 
 def verify_chain(chained: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, n, valid): every stored hash follows from the one stored before it."""
+    """(keys, n, valid): every stored hash follows from the one stored before it; a hash or body that is gone follows from nothing."""
     before = F.coalesce(F.lag("hash", 1).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(GENESIS))
-    checked = chained.withColumn("_ok", F.sha2(F.concat(before, F.col("body")), 256) == F.col("hash"))
+    follows = F.sha2(F.concat(before, F.col("body")), 256) == F.col("hash")
+    checked = chained.withColumn("_ok", F.coalesce(follows, F.lit(False)))
     return checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bool_and("_ok").alias("valid"))
 
 
@@ -150,12 +152,19 @@ def touch_keys(resolved: DataFrame, api_keys: DataFrame, at: Column) -> DataFram
     return active_keys(api_keys).join(used, "id", "left_semi").withColumn("last_used_at", at).withColumn("updated_at", at)
 
 
-def by_key(table: DataFrame, keys: list[str], **values) -> DataFrame:
-    """The current row with these values of its columns, if there is one (a point lookup)."""
-    found = latest(table, keys)
-    for column, value in values.items():
-        found = found.where(F.col(column).eqNullSafe(F.lit(value)))
-    return found
+def by_key(table: DataFrame, keys: list[str], order: str = "updated_at", **values) -> DataFrame:
+    """The current row with these values of its columns, if there is one (a point lookup).
+
+    Values of key columns filter before the latest rows are found, so they reach the scan; other columns change over
+    time and are compared in the latest rows, for which only keys that ever had the value are looked at.
+    """
+    of_keys = {c: v for c, v in values.items() if c in keys}
+    others = {c: v for c, v in values.items() if c not in keys}
+    same = lambda found: reduce(DataFrame.where, [F.col(c).eqNullSafe(F.lit(v)) for c, v in found.items()], table)
+    rows = same(of_keys)
+    if others and not of_keys:
+        rows = rows.join(same(others).select(*keys).distinct(), keys, "left_semi")
+    return reduce(DataFrame.where, [F.col(c).eqNullSafe(F.lit(v)) for c, v in others.items()], latest(rows, keys, order))
 
 
 def tombstone(workspace: str, counts: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def vendor_unpivot(spark, sf_dir):
 
 @register("union_vendor_parts", S.query("quarters", " union all ".join(f"select symbol, period_end, cast(period_end + 75 as date) as available_date, '{m}' as metric, {S.r6(m)} as value from quarters where symbol in ('Brand#11', 'Brand#12') and period_end + 75 >= date '1996-01-01'" for m in ("revenue", "total_assets", "capex"))))
 def union_vendor_parts(spark, sf_dir):
-    q = fixtures.quarters(spark, sf_dir).select(F.upper("symbol").alias("Ticker"), F.col("period_end").alias("Report Date"), F.date_add("period_end", 75).alias("Publish Date"), "revenue", "total_assets", "capex")
+    q = fixtures.quarters(spark, sf_dir).select(F.col("symbol").alias("Ticker"), F.col("period_end").alias("Report Date"), F.date_add("period_end", 75).alias("Publish Date"), "revenue", "total_assets", "capex")
     part = lambda m, v: q.select("Ticker", "Report Date", "Publish Date", F.col(m).alias(v))
     obs = observations.simfin(part("revenue", "Revenue"), part("total_assets", "Total Assets"), part("capex", "Change in Fixed Assets & Intangibles"), ["brand#11", "brand#12"], start="1996-01-01")
     return obs.withColumn("symbol", F.initcap("symbol")).withColumn("value", r6("value"))

@@ -67,7 +67,7 @@ def simfin(income: DataFrame, balance: DataFrame, cashflow: DataFrame, symbols:
     """Three restated bulk tables (not point-in-time) as observations."""
     wanted = [s.upper() for s in symbols]
     parts = [
-        unpivot_vendor(t.where(F.col("Ticker").isin(wanted)), m, "Ticker", "Report Date", "Publish Date")
+        unpivot_vendor(t.withColumn("Ticker", F.upper(F.trim("Ticker"))).where(F.col("Ticker").isin(wanted)), m, "Ticker", "Report Date", "Publish Date")
         for t, m in ((income, SIMFIN_INCOME), (balance, SIMFIN_BALANCE), (cashflow, SIMFIN_CASHFLOW))
     ]
     return between(reduce(DataFrame.unionByName, parts), start, end)
