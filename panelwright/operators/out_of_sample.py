@@ -74,6 +74,11 @@ def embargo_rows(n: int, share: float) -> int:
     return math.ceil(n * share)
 
 
+def embargo(n: str, share: float) -> Column:
+    """``embargo_rows`` of a column of counts."""
+    return F.ceil(F.col(n) * share).cast("long")
+
+
 def with_row(features: DataFrame) -> DataFrame:
     """Rows numbered from 0 by date and symbol, and ``n_rows``, how many there are. The numbering is exact and distributed by date.
 
@@ -99,13 +104,22 @@ def purged_folds(rows: DataFrame, n: int | None = None, n_folds: int = 5, embarg
     Folds are equal stretches of rows. Training rows whose label interval meets the test rows' intervals
     or that follow them within the embargo are left out. The fold bounds are one row a fold.
     """
+    return _with_roles(rows, n, n_folds, embargo).where("role is not null")
+
+
+def left_out(rows: DataFrame, n: int | None = None, n_folds: int = 5, embargo: float = 0.01) -> DataFrame:
+    """(fold, ...): the rows that a fold doesn't train on, about one copy of each row in all folds together."""
+    return _with_roles(rows, n, n_folds, embargo).where("role is null or role = 'test'").drop("role")
+
+
+def _with_roles(rows: DataFrame, n: int | None, n_folds: int, embargo: float) -> DataFrame:
     rows, fold = _counted(rows, n, n_folds, embargo)
     spans = rows.groupBy(fold.alias("fold")).agg(F.min("label_start").alias("_s"), F.max("label_end").alias("_e"), F.min("row").alias("_lo"), F.max("row").alias("_hi"))
     paired = rows.crossJoin(F.broadcast(spans))
     test = (F.col("row") >= F.col("_lo")) & (F.col("row") <= F.col("_hi"))
     clear = (F.col("label_end") < F.col("_s")) | (F.col("label_start") > F.col("_e"))
     after = (F.col("row") > F.col("_hi")) & (F.col("row") <= F.col("_hi") + F.col("_skip"))
-    return paired.withColumn("role", F.when(test, "test").when(clear & ~after, "train")).where("role is not null").drop("_s", "_e", "_lo", "_hi", "_skip", "n_rows")
+    return paired.withColumn("role", F.when(test, "test").when(clear & ~after, "train")).drop("_s", "_e", "_lo", "_hi", "_skip", "n_rows")
 
 
 def combinatorial_paths(rows: DataFrame, n: int | None = None, n_groups: int = 6, n_test: int = 2, embargo: float = 0.01) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.factors import EXTRA_METRICS, METRICS, SIGN, WEEKLY, add_factors, add_score
-from ..operators import attribution, guards, metrics, out_of_sample, portfolio, signal_quality, store, text_signals
+from ..operators import attribution, guards, linear_folds, metrics, out_of_sample, portfolio, signal_quality, store, text_signals
 from ..operators import point_in_time as pit
 from ..sources import fixtures, observations, panel
 from ..streaming import events as streams
@@ -537,9 +537,10 @@ def cpcv_paths(spark, sf_dir):
     return out_of_sample.combinatorial_paths(rows, None, 4, 2, 0.01).groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("embargo_sizes", "select n, cast(ceil(n * 0.02::double) as bigint) as rows from (select unnest([0, 1, 50, 1000, 12345]) as n)")
+@register("embargo_sizes", S.query("feats", "select symbol, n, cast(ceil(n * 0.02::double) as bigint) as rows from (select symbol, count(*) as n from feats group by 1)"))
 def embargo_sizes(spark, sf_dir):
-    return spark.createDataFrame([(n, out_of_sample.embargo_rows(n, 0.02)) for n in (0, 1, 50, 1000, 12345)], "n int, rows long")
+    """Rows that an embargo of 2 % of a symbol's history leaves out."""
+    return features(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", out_of_sample.embargo("n", 0.02))
 
 
 # Overfitting.
@@ -806,13 +807,71 @@ def elastic_net_fit(spark, sf_dir):
     return spark.createDataFrame(list(zip(names, fit.coefficients, strict=True)), "feature string, coefficient double")
 
 
+#: Trees, rounds and passes of the registered comparison, fewer than the library's defaults.
+LADDER = {"random_forest": {"trees": 40}, "xgboost": {"rounds": 20}, "lightgbm": {"rounds": 20}, "stacking": {"rounds": 10}, "mlp": {"epochs": 10}}
+
+
 @register("ladder_leaderboard")
 def ladder_leaderboard(spark, sf_dir):
+    """All seven models over six purged folds."""
     from ..operators.models import compare
 
     rows = features(spark, sf_dir).persist()
-    folds = out_of_sample.purged_folds(rows, None, 3, 0.01).persist()
-    board = compare(folds, ["x1", "x2", "x3"], 3, ["lasso", "elastic_net"], PPY)["leaderboard"]
+    folds = out_of_sample.purged_folds(rows, None, 6, 0.01).persist()
+    board = compare(folds, ["x1", "x2", "x3"], 6, ppy=PPY, options=LADDER)["leaderboard"]
     folds.unpersist()
     rows.unpersist()
-    return spark.createDataFrame([(r["model"], r["rank_ic"], r["long_short_sharpe"]) for r in board], "model string, rank_ic double, long_short_sharpe double")
+    return spark.createDataFrame([(r["model"], r["rank_ic"], r["long_short_sharpe"], r["n_dates"]) for r in board], "model string, rank_ic double, long_short_sharpe double, n_dates long")
+
+
+def _folds6(spark, sf_dir):
+    return out_of_sample.purged_folds(features(spark, sf_dir), None, 6, 0.01)
+
+
+@register("boosted_oof")
+def boosted_oof(spark, sf_dir):
+    """Out-of-fold predictions of level-wise and leaf-wise boosting over six purged folds."""
+    from ..operators.models import make_model, out_of_fold
+
+    folds, names = _folds6(spark, sf_dir).persist(), ["x1", "x2", "x3"]
+    parts = [out_of_fold(folds, make_model(m, rounds=10, gamma=0.0, l1=0.0), names, 6).select(F.lit(m).alias("model"), "fold", "row", r6("prediction").alias("prediction")) for m in ("xgboost", "lightgbm")]
+    return parts[0].unionByName(parts[1])
+
+
+@register("stacking_oof")
+def stacking_oof(spark, sf_dir):
+    """The bases' predictions for training rows that they did not learn from, by fold."""
+    from ..operators.models import make_model
+
+    train = _folds6(spark, sf_dir).where("role = 'train'").persist()
+    rows = make_model("stacking", rounds=5, l1=0.0).out_of_fold(train, ["x1", "x2", "x3"], "fold")
+    return rows.select("fold", "row", r6("_en").alias("elastic_net"), r6("_gbt").alias("boosted"), r6("y").alias("y"))
+
+
+_F6 = "case " + " ".join(f"when row < (select count(*) from feats) * {k + 1} // 6 then {k}" for k in range(5)) + " else 5 end"
+S.define("spans6", "feats", _SPANS.format(f=_F6))
+S.define("train6", "spans6", """select p.fold, coalesce(f.x1, 0.0) as x1, coalesce(f.x2, 0.0) as x2, coalesce(f.x3, 0.0) as x3, f.y from feats f cross join spans6 p where not f.row between p.lo and p.hi
+  and (f.label_end < p.s or f.label_start > p.e) and not (f.row > p.hi and f.row <= p.hi + ceil((select count(*) from feats) * 0.01::double))""")
+_COV = ", ".join(f"covar_pop(x{i}, x{j}){' + 1.0 / count(*)' if i == j else ''} as c{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+
+
+def _det(columns: list[str]) -> str:
+    """A 3 x 3 determinant whose column k is named by ``columns[k]`` and a row's number."""
+    a, b, c = columns
+    return f"({a}1 * ({b}2 * {c}3 - {b}3 * {c}2) - {b}1 * ({a}2 * {c}3 - {a}3 * {c}2) + {c}1 * ({a}2 * {b}3 - {a}3 * {b}2))"
+
+
+_W = ", ".join(f"{_det(['d' if k == i else f'c{k}' for k in (1, 2, 3)])} / {_det(['c1', 'c2', 'c3'])} as w{i}" for i in (1, 2, 3))
+
+
+@register("fold_ridge", S.query("train6", f"""select fold, n, {', '.join(S.r6(f'w{i}') + f' as w{i}' for i in (1, 2, 3))}, {S.r6('my - w1 * m1 - w2 * m2 - w3 * m3')} as intercept from (select fold, n, my, m1, m2, m3, {_W} from (
+  select fold, count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, {_COV}, covar_pop(x1, y) as d1, covar_pop(x2, y) as d2, covar_pop(x3, y) as d3 from train6 group by 1))"""))
+def fold_ridge(spark, sf_dir):
+    """A ridge of each fold from one aggregate of all rows and one of what the folds leave out."""
+    rows, names = features(spark, sf_dir).persist(), ["x1", "x2", "x3"]
+    left_out = linear_folds.products(out_of_sample.left_out(rows, None, 6, 0.01), names, "fold")
+    trained = linear_folds.without(linear_folds.products(rows, names)[0], left_out)
+    fits = [(g, int(round(p.n)), *map(float, linear_folds.ridge(p, 1.0))) for g, p in sorted(trained.items())]
+    rows.unpersist()
+    out = spark.createDataFrame(fits, "fold int, n long, w1 double, w2 double, w3 double, intercept double")
+    return rounded(out)
