@@ -89,3 +89,67 @@ def attribution(strategy: DataFrame, factors: DataFrame, model: str = "capm", pp
         "alpha_p": fit["p"][0], "betas": dict(zip(present, fit["coef"][1:], strict=True)), "beta_t": dict(zip(present, fit["t"][1:], strict=True)), "r2": fit["r2"],
         "systematic_share": share, "verdict": "mostly beta" if mostly_beta else "has alpha" if alpha_t is not None and alpha_t >= 2 else "no significant alpha",
     }
+
+
+def sweep(matrix: np.ndarray, k: int) -> np.ndarray:
+    """The sweep operator on pivot ``k``: variable k enters a regression whose cross-products ``matrix`` holds.
+
+    With a set of variables swept in, the last column has their coefficients and its corner the residual sum of squares; the
+    swept block is minus the inverse of their cross-products. A pivot that is a combination of those before is left out.
+    """
+    d = matrix[k, k]
+    if abs(d) < 1e-14:
+        return matrix
+    out = matrix - np.outer(matrix[:, k], matrix[k]) / d
+    out[k], out[:, k] = matrix[k] / d, matrix[:, k] / d
+    out[k, k] = -1 / d
+    return out
+
+
+def nested_models(strategy: DataFrame, factors: DataFrame, order: tuple[str, ...] = MODELS["ff6"], ppy: int = 252) -> list[dict]:
+    """CAPM up to all of ``order``, a factor more each time, from one aggregate of products.
+
+    Only dates on which all factors are known count, so models are of the same dates. Each entry has the factors so far, n, alpha
+    (a year), its t, the betas and their t, and the share of variance explained.
+    """
+    present = [f for f in order if f in factors.columns]
+    joined = strategy.select("date", F.col("net").alias("_y")).join(factors.select("date", *present), "date").dropna()
+    columns = [F.lit(1.0), *[F.col(f"`{f}`") for f in present], F.col("_y")]
+    p = len(columns)
+    row = joined.agg(*[F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+    gram = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            gram[i, j] = gram[j, i] = row[f"s{i}_{j}"] or 0.0
+    n, out = int(gram[0, 0]), []
+    if not n:
+        return out
+    swept = sweep(gram, 0)
+    total = swept[-1, -1]
+    for k, _ in enumerate(present, 1):
+        swept = sweep(swept, k)
+        dof, residual = n - k - 1, max(float(swept[-1, -1]), 0.0)
+        if dof <= 0:
+            break
+        error = np.sqrt(np.maximum(-np.diag(swept)[: k + 1], 0) * residual / dof)
+        t = [float(c / e) if e > 0 else None for c, e in zip(swept[: k + 1, -1], error, strict=True)]
+        out.append({
+            "factors": present[:k], "n": n, "dof": dof, "alpha": float(swept[0, -1]), "alpha_annual": float((1 + swept[0, -1]) ** ppy - 1), "alpha_t": t[0],
+            "betas": dict(zip(present[:k], map(float, swept[1 : k + 1, -1]), strict=True)), "beta_t": dict(zip(present[:k], t[1:], strict=True)), "r2": float(1 - residual / total) if total > 0 else 0.0,
+        })
+    return out
+
+
+def attribute(strategy: DataFrame, panel: DataFrame, model: str = "ff5", ppy: int = 252, bars: Bars = DAILY, least: int = 60) -> dict:
+    """Factor portfolios of ``panel`` and the regression on them in one call.
+
+    Without fundamentals a model falls back to its price factors; ``note`` says which were left out. All numbers are finite or None.
+    """
+    model = model.lower()
+    factors = factor_returns(panel, bars)
+    fit = attribution(strategy, factors, model, ppy, least)
+    fundamentals = "common_equity" in panel.columns
+    missing = fit["missing_factors"]
+    note = "ok" if not missing else f"no {', '.join(missing)}: " + ("not in the panel" if fundamentals else "the panel holds prices only") + f"; fitted on {', '.join(f for f in MODELS[model] if f not in missing)}"
+    finite = lambda v: {k: finite(x) for k, x in v.items()} if isinstance(v, dict) else None if isinstance(v, float) and not np.isfinite(v) else v
+    return finite({**fit, "available_factors": [c for c in factors.columns if c not in ("date", "seq")], "fundamentals_used": fundamentals, "note": note})

@@ -147,3 +147,16 @@ class TrialLedger:
     def reset(self, reason: str = "") -> None:
         self.resets.append({"reason": reason, "distinct": self.distinct, "runs": sum(self.counts.values())})
         self.counts = {}
+
+
+def ledger_epochs(trials: DataFrame, resets: DataFrame, floor: int = 1, time: str = "ts", order: str = "id", width: str = "1 day") -> DataFrame:
+    """(workspace, epoch, n_runs, n_distinct, effective): trials since each reset of their workspace, as events in time order.
+
+    ``trials`` has workspace, fingerprint, the time and ``order``; ``resets`` workspace, the time and ``order``, by which an epoch is
+    named (null before the first reset). A reset counts before trials of its time. A busy workspace's history is split by time.
+    """
+    from .asof import epochs
+
+    placed = epochs(trials.select("workspace", "fingerprint", time), resets.select("workspace", time, order), ["workspace"], time, order, width)
+    counted = placed.groupBy("workspace", "epoch").agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("fingerprint").alias("n_distinct"))
+    return counted.withColumn("effective", F.greatest("n_distinct", F.lit(floor).cast("long")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.factors import EXTRA_METRICS, METRICS, SIGN, WEEKLY, add_factors, add_score
-from ..operators import attribution, guards, linear_folds, metrics, out_of_sample, portfolio, signal_quality, store, text_signals
+from ..operators import asof, attribution, guards, linear_folds, metrics, out_of_sample, portfolio, signal_quality, store, text_signals
 from ..operators import point_in_time as pit
 from ..sources import fixtures, observations, panel
 from ..streaming import events as streams
@@ -642,11 +642,45 @@ def var_shares(spark, sf_dir):
     return rounded(_one_row(spark, {"systematic": share and float(share), "idiosyncratic": share and float(1 - share)}, "systematic double, idiosyncratic double"))
 
 
-@register("ff6_attribution")
+_SIX = ("MKT", "SMB", "HML", "RMW", "CMA", "UMD")
+S.define("six", "folio factors", f"select net as y, {', '.join(_SIX)} from folio join factors using (date) where net is not null and " + " and ".join(f"{f} is not null" for f in _SIX))
+
+
+def _orthogonal(order: tuple[str, ...], tag: str) -> str:
+    """Expressions that take each factor in turn, made orthogonal to those before, out of the outcome and of the later ones (Gram-Schmidt)."""
+    steps = [f"{tag}0 as (select y as y0, y, {', '.join(order)} from six)"]
+    for k, f in enumerate(order):
+        slope = lambda x, f=f: f"({x} - avg({x}) over () - covar_pop({x}, {f}) over () / var_pop({f}) over () * ({f} - avg({f}) over ()))"
+        later = "".join(f", {slope(g)} as {g}" for g in order[k + 1 :])
+        done = "".join(f", {g}" for g in order[: k + 1])
+        steps.append(f"{tag}{k + 1} as (select y0, {slope('y')} as y{done}{later} from {tag}{k})")
+    return ", ".join(steps)
+
+
+_LAST = {f: (*[g for g in _SIX if g != f], f) for f in _SIX}
+_FF6 = S.query("six", "", ) + "".join(f", {_orthogonal(order, f'q_{f}_')}" for f, order in _LAST.items()) + " " + " union all ".join(
+    f"select '{f}' as factor, {S.r6(f'covar_pop(y0, {f}) / var_pop({f})')} as beta, {S.r6(f'covar_pop(y0, {f}) / var_pop({f}) / sqrt(var_pop(y) * count(*) / (count(*) - 7) / (var_pop({f}) * count(*)))')} as t from q_{f}_6" for f in _SIX
+)
+
+
+@register("ff6_attribution", _FF6)
 def ff6_attribution(spark, sf_dir):
     fit = attribution.attribution(folio(spark, sf_dir), attribution.factor_returns(fundamental(spark, sf_dir), WEEKLY), "ff6", PPY)
     rows = [(n, float(b), t) for n, b, t in zip(fit.get("betas", {}), fit.get("betas", {}).values(), fit.get("beta_t", {}).values(), strict=True)]
-    return spark.createDataFrame(rows, "factor string, beta double, t double")
+    return rounded(spark.createDataFrame(rows, "factor string, beta double, t double"))
+
+
+_NESTED = S.query("six", "") + f", {_orthogonal(_SIX, 'n')} " + " union all ".join(
+    f"select {k + 1} as n_factors, '{f}' as factor, count(*) as n, {S.r6(f'1 - var_pop(y) / var_pop(y0)')} as r2, {S.r6(f'covar_pop(y0, {f}) / var_pop({f})')} as beta from n{k + 1}" for k, f in enumerate(_SIX)
+)
+
+
+@register("nested_attribution", _NESTED)
+def nested_attribution(spark, sf_dir):
+    """CAPM, then a factor more at a time: variance explained, and the beta of the factor that entered last."""
+    fits = attribution.nested_models(folio(spark, sf_dir), attribution.factor_returns(fundamental(spark, sf_dir), WEEKLY), _SIX, PPY)
+    rows = [(len(m["factors"]), m["factors"][-1], m["n"], m["r2"], m["betas"][m["factors"][-1]]) for m in fits]
+    return rounded(spark.createDataFrame(rows, "n_factors int, factor string, n long, r2 double, beta double"))
 
 
 # Guards.
@@ -795,6 +829,35 @@ def late_dedup(spark, sf_dir):
     return streams.first_seen(fixtures.read(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
+@register("asof_events", """select p.event_id, p.user_id, p.ts, c.ts as click_ts, c.event_id as click_event_id, round(c.value, 6) + 0.0 as click_value from (select * from events where event_type = 'purchase') p
+  asof left join (select * from events where event_type = 'click' qualify row_number() over (partition by user_id, ts order by event_id desc) = 1) c on p.user_id = c.user_id and p.ts >= c.ts""")
+def asof_events(spark, sf_dir):
+    """Each purchase with the user's last click at or before it."""
+    e = fixtures.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kind = lambda k: e.where(F.col("event_type") == k).select("event_id", "user_id", "ts", "value")
+    joined = asof.asof_join(kind("purchase").drop("value"), kind("click"), ["user_id"], "ts", values=["event_id", "value"], order=["event_id"], prefix="click_")
+    return joined.withColumn("click_value", r6("click_value"))
+
+
+@register("asof_tolerance", """select p.event_id, p.user_id, case when c.ts >= p.ts - interval 6 hour then c.event_id end as click_event_id from (select * from events where event_type = 'purchase') p
+  asof left join (select * from events where event_type = 'click' qualify row_number() over (partition by user_id, ts order by event_id desc) = 1) c on p.user_id = c.user_id and p.ts >= c.ts""")
+def asof_tolerance(spark, sf_dir):
+    """The same within six hours."""
+    e = fixtures.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kind = lambda k: e.where(F.col("event_type") == k).select("event_id", "user_id", "ts")
+    return asof.asof_join(kind("purchase"), kind("click"), ["user_id"], "ts", order=["event_id"], tolerance="6 hours", prefix="click_").select("event_id", "user_id", "click_event_id")
+
+
+@register("ledger_epochs", """with e as (select user_id % 20 as workspace, ts, event_id, event_type, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id % 20 order by ts, case when event_type = 'signup' then 0 else 1 end, event_id) as k, user_id from events),
+  t as (select workspace, k, event_type || '|' || (user_id // 20 % 5) as fingerprint from e where event_type <> 'signup')
+  select workspace, epoch, count(*) as n_runs, count(distinct fingerprint) as n_distinct, greatest(count(distinct fingerprint), 4) as effective from (select t.workspace, c.event_id as epoch, fingerprint from t left join (select workspace, k, max(event_id) as event_id from e where event_type = 'signup' group by 1, 2) c
+  on c.workspace = t.workspace and c.k = t.k) group by 1, 2""")
+def ledger_epochs(spark, sf_dir):
+    """Trials of a workspace since its last reset, which is an event like they are."""
+    e = fixtures.read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("workspace"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", F.concat_ws("|", "event_type", F.floor(F.col("user_id") / 20) % 5).alias("fingerprint"))
+    return guards.ledger_epochs(e.where("event_type <> 'signup'"), e.where("event_type = 'signup'"), 4, order="event_id")
+
+
 # Models (rows only: iterative fits).
 
 
