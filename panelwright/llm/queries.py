@@ -27,8 +27,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents")).select(
-        F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "a_start", "a_end", "b_start", "b_end", "n_equal", F.round("identity", 4).alias("identity")
+    found = passages.with_classes(passages.repeated_passages(table(spark, sf_dir, "documents")))
+    return found.select(
+        F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "a_start", "a_end", "b_start", "b_end", "n_equal", F.round("identity", 4).alias("identity"), F.col("class").alias("class_id")
     )
 
 

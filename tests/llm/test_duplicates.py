@@ -329,10 +329,14 @@ def test_classes_of_spans(spark):
         near = {c for (d, s), c in spans.items() if d == i and abs(s - start) <= 2}
         assert len(near) == 1 and named.setdefault(p, near) == near
     assert len(set().union(*named.values())) == 3 and len(spans) >= len(planted)
+    rows = P.with_classes(out).collect()
+    assert len(rows) == out.count() and all(x["class"] == spans[x["a"], x["a_start"]] == spans[x["b"], x["b_start"]] for x in rows)
+    for p, (c,) in named.items():  # a class's rows name all its documents, also those that no row joins directly
+        assert {i for i, _, q in planted if q == p} <= {i for x in rows if x["class"] == c for i in (x["a"], x["b"])}
 
 
 def test_many_partners_of_one_document(spark, monkeypatch):
-    monkeypatch.setattr(P, "GROUP", 3)
+    monkeypatch.setattr(P, "GROUP", 300)
     r = random.Random(18)
     text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
     passage = text(70)
