@@ -59,16 +59,45 @@ WORDINGS: tuple[tuple[str, str], ...] = (
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."""),
+    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication."),
+    ("Artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1; you may not use this file except in compliance with the License."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License, Version 1.0."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or later."),
+    ("GFDL-1.3", """Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."""),
+    ("ODbL-1.0", "This database is made available under the Open Database License."),
 )
+#: GNU licenses, whose identifiers also say whether later versions will do.
+GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.3")
 #: A line for every license by its short identifier.
-WORDINGS += tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in WORDINGS) if name != "Proprietary")
+WORDINGS += tuple(
+    (f"{name}{ending}", f"SPDX-License-Identifier: {name}{ending}")
+    for name in dict.fromkeys(n for n, _ in WORDINGS) if name != "Proprietary" for ending in (("", "-only", "-or-later") if name in GNU else ("",))
+)
 CUE = re.compile(r"licen[sc]e|copyright|SPDX|warrant(?:y|ies)|redistribut|permission (?:is|to)|public domain|rights reserved|creative commons|liab(?:le|ility)", re.IGNORECASE)
 HINTS = ("licen", "copyright", "spdx", "warrant", "redistribut", "permission ", "public domain", "rights reserved", "creative commons", "liab")
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 #: Words running that lead to a comparison.
 ANCHOR = 3
 #: Words that may not differ: they tell licenses apart.
-DECISIVE = re.compile(r".*\d.*|.*-only|.*-later|mit|apache|gnu|lesser|affero|bsd|clause|isc|mozilla|cc|by|nc|sa|nd|by-\w+(-\w+)?|cc0|noncommercial|attribution.*|not|no|without|unlicense")
+DECISIVE = re.compile(r".*\d.*|.*-only|.*-later|mit|apache|gnu|lesser|affero|bsd|clause|isc|mozilla|cc|by|nc|sa|nd|by-\w+(-\w+)?|cc0|noncommercial.*|noderivatives|attribution.*|artistic|eclipse|not|no|without|unlicense")
 
 
 def tokens(text: str) -> list[str]:
@@ -130,7 +159,10 @@ def blocks(text: str, reach: int) -> list[tuple[list[tuple[int, int]], int, int]
         begin, end = lines[0][0], lines[-1][1]
         left = groups[k - 1][-1][1] if k else 0
         right = groups[k + 1][0][0] if k + 1 < len(groups) else len(text)
-        before = [m.start() for m in WORD.finditer(text, max(left, begin - 16 * reach), begin)][-reach:]
+        span = 16 * reach
+        while len(before := [m.start() for m in WORD.finditer(text, max(left, begin - span), begin)]) <= reach and begin - span > left:
+            span *= 4  # long words or blanks: look farther back
+        before = before[-reach:]
         after = [m.end() for m in itertools.islice(WORD.finditer(text, end, right), reach)]
         out.append((lines, before[0] if before else begin, after[-1] if after else end))
     return out

@@ -216,6 +216,38 @@ def test_licenses_against_every_place():
         assert [(sum(a < s for a, _ in places), sum(a < e for a, _ in places), name) for s, e, name in got] == slow_licenses(text)
 
 
+NOTICES = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.',
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "Artistic-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "GPL-3.0-only": "// SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-2.0-or-later": "# SPDX-License-Identifier: GPL-2.0-or-later",
+    "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(NOTICES))
+def test_usual_notices_are_known_by_name(name):
+    around = "Some words of prose before it.\n\n{}\n\nAnd some after it."
+    for text in (NOTICES[name], around.format(NOTICES[name])):
+        _, reach = L._prepared(L.WORDINGS)
+        found = [f[2] for b in L.blocks(text, reach) for f in L.judge(text, b)]
+        assert found == [name]
+
+
+def test_a_license_after_very_long_words_and_blanks():
+    """A block reaches as many words back as a wording may have before its cue, however many characters that is."""
+    wordings = (("Test-1.0", "alpha beta gamma delta epsilon zeta eta theta license"),)
+    text = ("x" * 900 + " ") + (" " * 900).join("alpha beta gamma delta epsilon zeta eta theta".split()) + "\nlicense"
+    _, reach = L._prepared(wordings)
+    ((_, begin, end),) = L.blocks(text, reach)
+    assert text[begin:end].startswith("alpha ") and end == len(text)
+
+
 def test_several_licenses_in_a_block():
     reach = L._prepared(L.WORDINGS)[1]
     names = lambda t: [n for b in L.blocks(t, reach) for _, _, n, _, _ in L.judge(t, b)]
