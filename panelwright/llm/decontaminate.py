@@ -6,7 +6,8 @@ document word inside any occurrence of a window is hit.
 
 The windows' rolling hashes are broadcast in blocks of at most ``block_words`` item words (a proven size),
 each block scanned by every document; a hash that meets is verified word by word. With several blocks,
-hits are carried from one scan to the next and united, so a benchmark of any size gives the same result.
+each scan reads the texts again and leaves only the hits of texts that have any, by a digest of the text, to be united and
+joined to the documents, so texts are never copied and a benchmark of any size gives the same result.
 
 Defined results: null has no words; an item without words has no window; repeated items are items of their
 own, and items with the same window all count as hit; a null item id counts as the string ``null``; very long
@@ -16,15 +17,17 @@ and kept by ``remove_contaminated``.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text, map_batches, with_id
+from .common import Written, id_and_text, map_batches, with_id
 
 #: Bytes that are no word character become blanks.
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -119,36 +122,63 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     ``hits`` are disjoint word spans, ends exclusive; ``items`` are distinct and sorted as strings.
     """
     source = id_and_text(docs, id_col, text_col)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_words)
-    state, block = None, next(blocks)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _scanned(source, WindowIndex(block, width), with_id(source, f"n_words int, {HITS}")).withColumnRenamed("id", id_col)
+    by_digest = docs.select(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = []
     while block is not None:
-        following = next(blocks, None)
-        index = docs.sparkSession.sparkContext.broadcast(WindowIndex(block, width))
-        more, last = state is not None, following is None
-
-        def make(index=index, more=more, last=last):
-            scan = index.value.scan
-
-            def step(batch):
-                found = [scan(t) for t in batch.column(1).to_pylist()]
-                if more:
-                    before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                    found = [(n, merge([*s, *((x["start"], x["end"]) for x in h)]), m | set(i)) for (n, s, m), (h, i) in zip(found, before, strict=True)]
-                hits = pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], span)
-                items = pa.array([sorted(m) for _, _, m in found], pa.list_(pa.string()))
-                second = pa.array([n for n, _, _ in found], pa.int32()) if last else batch.column(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), second, hits, items], ["id", "n_words" if last else "text", "hits", "items"])
-
-            return step
-
-        second = "n_words int" if last else "text string"
-        schema = with_id(source, f"{second}, hits array<struct<start:int,end:int>>, items array<string>")
-        state = map_batches(state if more else source, make, schema)
-        if not last:
-            state = cut_lineage(state)
-        block = following
-    return state.withColumnRenamed("id", id_col)
+        found = _scanned(by_digest, WindowIndex(block, width), with_id(by_digest, f"n_words int, {HITS}")).where(F.size("hits") > 0)
+        parts.append(Written(found.dropDuplicates(["id"]), "hits").df)  # a row a text that is hit, without the text
+        block, following = following, next(blocks, None)
+    united = reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = map_batches(united, _merged, with_id(united, HITS)).withColumnRenamed("id", "of")  # at most a row a block was gathered
+    counted = map_batches(source, _counted, with_id(source, "n_words int, digest string"))
+    none = lambda c: F.coalesce(c, F.array().cast(united.schema[c].dataType)).alias(c)
+    return counted.join(united, F.col("digest") == F.col("of"), "left").select(F.col("id").alias(id_col), "n_words", none("hits"), none("items"))
+
+
+HITS = "hits array<struct<start:int,end:int>>, items array<string>"
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _spans(lists) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in lists], SPAN)
+
+
+def _scanned(source: DataFrame, windows: WindowIndex, schema) -> DataFrame:
+    """(id, n_words, hits, items) of each (id, text)."""
+    index = source.sparkSession.sparkContext.broadcast(windows)
+
+    def make():
+        scan = index.value.scan
+
+        def step(batch):
+            n, spans, met = zip(*(scan(t) for t in batch.column(1).to_pylist()), strict=True)
+            items = pa.array([sorted(m) for m in met], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), _spans(spans), items], ["id", "n_words", "hits", "items"])
+
+        return step
+
+    return map_batches(source, make, schema)
+
+
+def _merged():
+    def step(batch):
+        spans = [merge((x["start"], x["end"]) for x in h) for h in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _spans(spans), batch.column(2)], ["id", "hits", "items"])
+
+    return step
+
+
+def _counted():
+    def step(batch):
+        found = batch.column(1).to_pylist()
+        digest = [hashlib.sha256((t or "").encode("utf-8", "replace")).hexdigest() for t in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(words(t)) for t in found], pa.int32()), pa.array(digest)], ["id", "n_words", "digest"])
+
+    return step
 
 
 #: A document is contaminated if it has a hit word and hit words are at least a twentieth of its words.
