@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default lexicon.
@@ -40,23 +40,68 @@ def is_valid(signal: str = "signal") -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def extract(docs: DataFrame, answer: Callable[[str], str], cache: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``signal``: cached answers by the text's SHA-256, an injected ``answer`` for the others.
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("text_sha", F.sha2(F.coalesce(text_col, F.lit("")), 256))
 
-    Texts are asked about once each, in batches of Arrow.
+
+def answers_to_misses(docs: DataFrame, answer: Callable[[str], str], known: DataFrame | None, text_col: str = "text", shown_chars: int | None = EXTRACT_CHARS) -> DataFrame:
+    """(text_sha, raw): answers about the texts that ``known`` (text_sha) lacks, one a text, asked in batches of Arrow.
+
+    ``answer`` is shown the first ``shown_chars`` characters, or with None the whole text.
     """
-    keyed = docs.withColumn("text_sha", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    wanted = keyed.groupBy("text_sha").agg(F.min(F.substring(text_col, 1, EXTRACT_CHARS)).alias("shown"))
-    known = cache.select("text_sha", "raw") if cache is not None else None
-    misses = wanted.join(known, "text_sha", "left_anti") if known is not None else wanted
+    shown = F.col(text_col) if shown_chars is None else F.substring(text_col, 1, shown_chars)
+    wanted = _keyed(docs, text_col).groupBy("text_sha").agg(F.min(shown).alias("shown"))
+    misses = wanted.join(known.select("text_sha"), "text_sha", "left_anti") if known is not None else wanted
 
     @F.pandas_udf("string")
     def ask(shown: pd.Series) -> pd.Series:
         return shown.map(lambda t: answer(t or ""))
 
-    answers = misses.select("text_sha", ask("shown").alias("raw"))
+    return misses.select("text_sha", ask("shown").alias("raw"))
+
+
+def extract(docs: DataFrame, answer: Callable[[str], str], cache: DataFrame | None = None, text_col: str = "text", shown_chars: int | None = EXTRACT_CHARS) -> DataFrame:
+    """``docs`` with ``signal``: cached answers by the text's SHA-256, an injected ``answer`` for the others."""
+    known = cache.select("text_sha", "raw") if cache is not None else None
+    answers = answers_to_misses(docs, answer, known, text_col, shown_chars)
     answers = answers.unionByName(known) if known is not None else answers
-    return keyed.join(answers, "text_sha", "left").withColumn("signal", parse_signal("raw"))
+    return _keyed(docs, text_col).join(answers, "text_sha", "left").withColumn("signal", parse_signal("raw"))
+
+
+class AnswerCache:
+    """Stored answers under ``path``, a folder for each batch that filled them; one answer a text.
+
+    A batch's folder appears whole or not at all. A batch that is repeated after its answers were stored, as a stream repeats
+    one that failed later on, finds its folder and asks nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def read(self) -> DataFrame:
+        """(text_sha, raw)."""
+        if not self._exists(""):
+            return self.spark.createDataFrame([], "text_sha string, raw string")
+        stored = self.spark.read.schema("text_sha string, raw string").parquet(self.path)
+        return stored.groupBy("text_sha").agg(F.min("raw").alias("raw"))
+
+    def fill(self, docs: DataFrame, answer: Callable[[str], str], batch: str, text_col: str = "text", shown_chars: int | None = EXTRACT_CHARS) -> DataFrame:
+        """Ask about what is not stored yet, store it as ``batch``, and give ``docs`` with their signals from the store."""
+        if not self._exists(f"batch={batch}/_SUCCESS"):
+            answers_to_misses(docs, answer, self.read(), text_col, shown_chars).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        return _keyed(docs, text_col).join(self.read(), "text_sha", "left").withColumn("signal", parse_signal("raw"))
+
+    def follow(self, docs: DataFrame, answer: Callable[[str], str], then: Callable[[DataFrame, int], None], checkpoint: str, name: str = "stream", **options):
+        """A query that fills the cache from a stream and hands each batch's documents with their signals to ``then``."""
+
+        def step(batch: DataFrame, number: int) -> None:
+            then(self.fill(batch, answer, f"{name}-{number}", **options), number)
+
+        return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cache_misses(docs: DataFrame, cache: DataFrame, text_col: str = "text") -> DataFrame:
