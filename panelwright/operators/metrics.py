@@ -196,3 +196,18 @@ def summarize(returns: DataFrame, ppy: int = 252, n_trials: int = 1, alpha: floa
         extra = returns.agg(F.avg("turnover").alias("avg_turnover"), F.try_divide(F.avg("book"), F.avg(F.col("turnover") / 2)).alias("avg_holding_period")).first()
         out |= extra.asDict()
     return out
+
+
+def backtest_stats(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each of ``keys`` (a grid's configurations, say): concentration of gains and losses, drawdown, and where there are books, holding.
+
+    (gain_hhi, loss_hhi, max_drawdown, longest, episodes[, holding_period]) of a ``backtest`` (seq, net, equity[, book, turnover]).
+    """
+    shares = moments(returns, keys=keys).select(*keys, "gain_hhi", "loss_hhi")
+    parts = [drawdown_stats(returns, keys)]
+    if {"book", "turnover"} <= set(returns.columns):
+        held = F.try_divide(F.avg("book"), F.avg(F.col("turnover") / 2)).alias("holding_period")
+        parts.append(returns.groupBy(*keys).agg(held) if keys else returns.agg(held))
+    for part in parts:
+        shares = shares.join(part, list(keys)) if keys else shares.crossJoin(part)  # one row each without keys
+    return shares

@@ -202,6 +202,19 @@ def logit_histogram(logits: DataFrame, bins: int = 20) -> DataFrame:
     return bounded.groupBy(F.least(F.lit(bins - 1), at).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def pbo_summary(logits: DataFrame, n_strategies: int, bins: int = 20) -> dict:
+    """The search's overfitting in one document, under the response's keys; two small jobs over a row a combination."""
+    row = logits.agg(F.count(F.lit(1)).alias("n"), F.median("oos_sharpe").alias("m")).first()
+    out = pbo(logits).first().asDict()
+    counts = {r["bin"]: r["n"] for r in logit_histogram(logits, bins).collect()}
+    few = n_strategies < 2 or not row["n"]
+    return {
+        "pbo": out["pbo"], "n_strategies": n_strategies, "n_combinations": out["n_combinations"], "median_oos_sharpe_selected": row["m"], "prob_oos_loss": out["prob_oos_loss"],
+        "performance_degradation_slope": out["slope"], "histogram": [counts.get(b, 0) for b in range(bins)], "insufficient": few, "overfit": bool(out["pbo"] is not None and out["pbo"] > 0.5),
+        "verdict": pbo_verdict(None if few else out["pbo"]), "note": "fewer than two configurations, or no combination" if few else "ok",
+    }
+
+
 def pbo_verdict(value: float | None) -> str:
     return "insufficient data" if value is None else "overfit" if value > 0.5 else "elevated" if value > 0.25 else "acceptable"
 

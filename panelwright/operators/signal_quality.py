@@ -127,3 +127,19 @@ def scorecard(panel: DataFrame, score: str = "score", split: float = 0.7, horizo
         **coverage(panel, score).first().asDict(), **rank_autocorrelation(panel, score).first().asDict(), "sign_stability": stable,
         "predictive": bool(t is not None and abs(t) > 2.0 and same and stable["stable"] is not False),
     }
+
+
+def compact_scorecard(panel: DataFrame, score: str = "score", horizons: tuple[int, ...] = (1, 5, 21)) -> dict:
+    """The short form for a response: IC, decay, coverage, persistence and the constancy of its sign, under the response's keys."""
+    ic = ic_series(panel, score).persist()
+    try:
+        head, sign = ic_summary(ic).first().asDict(), sign_stability(ic).first().asDict()
+    finally:
+        ic.unpersist()
+    t = None if head["t_stat"] is None else round(head["t_stat"], 2)
+    verdict = "too few dates" if sign["stable"] is None else "keeps its sign" if sign["stable"] else "changes its sign"
+    return {
+        "mean_ic": head["mean_ic"], "ic_tstat": t, "ic_ir": head["ir"], "ic_hit_rate": head["hit_rate"], "ic_decay": {r["horizon"]: r["mean_ic"] for r in ic_decay(panel, score, horizons).collect()},
+        "coverage": coverage(panel, score).first()[0], "rank_autocorr": rank_autocorrelation(panel, score).first()[0], "significant": bool(t is not None and abs(t) > 2.0),
+        "ic_sign_consistency": sign["consistency"], "ic_sign_stable": sign["stable"], "ic_sign_verdict": verdict,
+    }

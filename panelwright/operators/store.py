@@ -77,6 +77,21 @@ def resolve_keys(presented: DataFrame, api_keys: DataFrame) -> DataFrame:
     return hashed.join(active_keys(api_keys).select("secret_sha", "workspace_id", F.col("id").alias("key_id")), "secret_sha")
 
 
+def principals(presented: DataFrame, api_keys: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(presented columns but the secret, user_id, workspace_id, role, denied): who stands behind each presented secret, a row each.
+
+    ``denied`` says why nobody does: no such key, the key was revoked, or its creator is no member any more; it is null for a
+    caller that may go on. Keys have key_hash, workspace_id, created_by, revoked_at; hashes are compared, secrets never stored.
+    """
+    keys = latest(api_keys, ["id"]).select("key_hash", "workspace_id", F.col("created_by").alias("user_id"), F.col("revoked_at").isNotNull().alias("revoked"))
+    roles = latest(memberships, ["workspace_id", "user_id"]).select("workspace_id", "user_id", "role")
+    asked = presented.withColumn("key_hash", F.sha2("secret", 256)).drop("secret")
+    found = asked.join(keys, "key_hash", "left").join(roles, ["workspace_id", "user_id"], "left").drop("key_hash")
+    denied = F.when(F.col("user_id").isNull(), "unknown key").when(F.col("revoked"), "revoked key").when(F.col("role").isNull(), "no member")
+    known = lambda c: F.when(F.col("denied").isNull(), F.col(c)).alias(c)
+    return found.withColumn("denied", denied).select(*[c for c in asked.columns if c != "key_hash"], known("user_id"), known("workspace_id"), known("role"), "denied")
+
+
 def blind_index(value: Column | str, key: str) -> Column:
     """HMAC-SHA256 of the lower-cased value by built-in functions, for equality search over encrypted values."""
     c = F.lower(F.trim(F.col(value) if isinstance(value, str) else value))

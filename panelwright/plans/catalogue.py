@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.factors import EXTRA_METRICS, METRICS, SIGN, WEEKLY, add_factors, add_score
-from ..operators import asof, attribution, guards, linear_folds, metrics, out_of_sample, portfolio, signal_quality, store, text_signals
+from ..operators import accounts, asof, attribution, guards, linear_folds, metrics, out_of_sample, portfolio, signal_quality, store, text_signals
 from ..operators import point_in_time as pit
 from ..sources import fixtures, observations, panel
 from ..streaming import events as streams
@@ -775,6 +775,38 @@ def role_authorisation(spark, sf_dir):
     return store.allowed(asked, rows, "ADMIN").select("user_id", "workspace_id")
 
 
+@register("bearer_principals", S.query("members", """, keys as (select event_id as id, 'sk-' || (user_id * 3) as secret, user_id % 20 as workspace_id, user_id as created_by, event_type = 'signup' as revoked from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
+  asked as (select event_id, 'sk-' || (user_id * 3 + case when event_id % 10 = 0 then 1 else 0 end) as secret from events)
+  select event_id, case when denied is null then user_id end as user_id, case when denied is null then workspace_id end as workspace_id, case when denied is null then role end as role, denied from (
+    select a.event_id, k.created_by as user_id, k.workspace_id, m.role, case when k.id is null then 'unknown key' when k.revoked then 'revoked key' when m.role is null then 'no member' end as denied
+    from asked a left join keys k using (secret) left join (select * from members where user_id % 7 <> 0) m on m.user_id = k.created_by and m.workspace_id = k.workspace_id)"""))
+def bearer_principals(spark, sf_dir):
+    """Callers by the secrets that they present; some present none that exists, revoked ones, or those of past members."""
+    e = fixtures.read(spark, sf_dir, "events")
+    role = F.when(F.col("event_type") == "purchase", "OWNER").when(F.col("event_type") == "click", "ADMIN").when(F.col("event_type") == "signup", "MEMBER").otherwise("VIEWER")
+    at, secret = F.struct("ts", "event_id").alias("updated_at"), lambda n: F.concat(F.lit("sk-"), n.cast("string"))
+    members = e.where("user_id % 7 <> 0").select((F.col("user_id") % 20).alias("workspace_id"), "user_id", role.alias("role"), at)
+    revoked = F.when(F.col("event_type") == "signup", F.col("ts").cast("timestamp")).alias("revoked_at")
+    keys = e.select(F.col("user_id").alias("id"), F.sha2(secret(F.col("user_id") * 3), 256).alias("key_hash"), (F.col("user_id") % 20).alias("workspace_id"), F.col("user_id").alias("created_by"), revoked, at)
+    asked = e.select("event_id", secret(F.col("user_id") * 3 + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).alias("secret"))
+    return store.principals(asked, keys, members)
+
+
+@register("account_commits", """with c as (select distinct event_id // 40 as batch from events where event_id // 40 % 7 <> 3), live as (select * from c where not (batch % 11 = 5 and batch + 1 in (select batch from c))),
+  rows as (select user_id, event_type, event_id, case when event_id // 40 % 11 = 6 and event_id % 40 < 5 then event_id // 40 - 1 else event_id // 40 end as version, event_id // 40 as batch from events)
+  select user_id, event_type, event_id, version from rows join live using (batch) qualify row_number() over (partition by user_id order by version desc, event_id desc) = 1""")
+def account_commits(spark, sf_dir):
+    """The latest state of users from batches of rows: some batches have no commit, some gave way to the next one, some rows kept their age."""
+    e = fixtures.read(spark, sf_dir, "events")
+    batch = F.floor(F.col("event_id") / 40).cast("long")
+    kept = F.when((batch % 11 == 6) & (F.col("event_id") % 40 < 5), batch - 1)
+    rows = e.select("user_id", "event_type", "event_id", batch.cast("string").alias("batch"), kept.alias("kept_version"))
+    gone = F.when(F.col("version") % 11 == 6, F.array(F.struct(F.lit("members").alias("of"), (F.col("version") - 1).cast("string").alias("batch"))))
+    commits = e.select(batch.alias("version")).distinct().where("version % 7 <> 3").select("version", F.col("version").cast("string").alias("batch"), gone.alias("removed"))
+    state = store.latest(accounts.committed(rows, commits, "members").withColumn("order", F.struct("version", "event_id")), ["user_id"], "order")
+    return state.select("user_id", "event_type", "event_id", "version")
+
+
 _LOG = "list_filter(c.log, lambda x: x > e.ts - interval 1 day)"
 
 

@@ -27,6 +27,24 @@ FUNDAMENTAL_FACTORS = {
     "conservative_compounder": ("conservative_compounder", 1),
 }
 CAPS = {"reversal": 63, "lowvol": 252}
+# Names and groups under which users choose factors.
+LABELS = {
+    "momentum": ("Momentum (12-1)", "Technical (price)"), "reversal": ("Short-term reversal", "Technical (price)"), "lowvol": ("Low volatility", "Technical (price)"), "blend": ("Blend (momentum + low-vol + reversal)", "Technical (price)"),
+    "value": ("Value (composite)", "Value"), "earnings_yield": ("Earnings yield (E/P)", "Value"), "book_to_price": ("Book-to-price (B/P)", "Value"), "fcf_yield": ("Free-cash-flow yield", "Value"),
+    "quality": ("Quality (composite)", "Quality"), "gross_profitability": ("Gross profitability", "Quality"), "operating_profitability": ("Operating profitability", "Quality"), "roe": ("Return on equity (ROE)", "Quality"),
+    "roa": ("Return on assets (ROA)", "Quality"), "earnings_quality": ("Earnings quality (low accruals)", "Quality"), "low_leverage": ("Low leverage", "Quality"), "conservative_investment": ("Conservative investment", "Investment"),
+    "low_issuance": ("Low share issuance", "Investment"), "value_with_fraud_guardrail": ("Value (fraud-guarded)", "Composite alpha"), "profitable_value": ("Profitable value", "Composite alpha"),
+    "conservative_compounder": ("Conservative compounder", "Composite alpha"), "value_quality": ("Value + Quality", "Multi-factor"),
+}
+
+
+def catalogue() -> list[dict]:
+    """The factors that a request may name: label, group, what data they need, and the column behind them with its orientation (-1: low is good)."""
+    entries = []
+    for name, (label, category) in LABELS.items():
+        column, orientation = FUNDAMENTAL_FACTORS.get(name, (name, 1))
+        entries.append({"name": name, "label": label, "category": category, "kind": "price" if name in PRICE_FACTORS else "fundamental", "column": column, "orientation": orientation})
+    return entries
 
 
 class RequestError(ValueError):
@@ -178,11 +196,10 @@ def overfitting(panel: DataFrame, p: dict, n_bars: int, ppy: int = 252) -> dict:
     returns = out_of_sample.grid_returns(weighted, {f"w{k}": f"w{k}" for k in looks}, p["cost_bps"])
     logits = out_of_sample.cscv_logits(out_of_sample.block_moments(returns, n_bars), ppy=ppy).persist()
     try:
-        out = out_of_sample.pbo(logits).first().asDict()
-        bins = {r["bin"]: r["n"] for r in out_of_sample.logit_histogram(logits).collect()}
+        out = out_of_sample.pbo_summary(logits, len(looks))
     finally:
         logits.unpersist()
-    return {**out, "lookbacks": looks, "verdict": out_of_sample.pbo_verdict(out["pbo"]), "histogram": [bins.get(b, 0) for b in range(20)]}
+    return {**out, "slope": out["performance_degradation_slope"], "lookbacks": looks}
 
 
 def run_model_comparison(panel: DataFrame, features: list[str], horizon: int = 21, n_folds: int = 6, embargo: float = 0.01, names: list[str] | None = None, bars: Bars | None = None) -> dict:

@@ -3,12 +3,13 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import expressions as X
 from panelwright.functions import factors, normal
-from panelwright.operators import attribution, guards, metrics, models, out_of_sample, portfolio, signal_quality, store, text_signals
+from panelwright.operators import asof, attribution, guards, metrics, models, out_of_sample, portfolio, signal_quality, store, text_signals
 from panelwright.operators import point_in_time as pit
 from panelwright.plans import catalogue, workflow
 from panelwright.sources import fixtures, observations, panel, synthetic
@@ -380,3 +381,64 @@ def test_rate_limit_by_hand(spark):
     got = {r["event_id"]: r["admitted"] for r in streams.rate_limited(hits, 2, 10.0).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True}
     assert streams.rate_limited(hits.where("false"), 2, 10.0).count() == 0
+
+
+def test_response_documents_have_their_keys(spark):
+    world = synthetic.synthetic_world(spark, [f"S{i}" for i in range(8)], 160, seed=5, drift=0.01)
+    scored = factors.add_scores(world, {"score": workflow.price_factor("momentum", 20, 2)}).persist()
+    card = signal_quality.compact_scorecard(scored)
+    assert set(card) == {"mean_ic", "ic_tstat", "ic_ir", "ic_hit_rate", "ic_decay", "coverage", "rank_autocorr", "significant", "ic_sign_consistency", "ic_sign_stable", "ic_sign_verdict"}
+    assert set(card["ic_decay"]) == {1, 5, 21} and 0 < card["coverage"] <= 1 and card["significant"] == (abs(card["ic_tstat"]) > 2)
+    doc = workflow.overfitting(world, workflow.validate({"lookback": 20, "skip": 2, "periods": 160}), 160)
+    assert {"pbo", "n_strategies", "n_combinations", "median_oos_sharpe_selected", "prob_oos_loss", "performance_degradation_slope", "histogram", "insufficient", "overfit", "verdict", "note"} <= set(doc)
+    assert doc["n_combinations"] == 70 and sum(doc["histogram"]) == 70 and doc["overfit"] == (doc["pbo"] > 0.5) and doc["note"] == "ok"
+    entries = workflow.catalogue()
+    assert [e["name"] for e in entries if e["kind"] == "price"] == list(workflow.PRICE_FACTORS) and {e["name"] for e in entries} == {*workflow.PRICE_FACTORS, *workflow.FUNDAMENTAL_FACTORS}
+    assert {e["name"] for e in entries if e["orientation"] < 0} == {"earnings_quality", "low_leverage", "conservative_investment", "low_issuance"}
+    scored.unpersist()
+
+
+def test_backtest_stats_by_configuration(spark):
+    rows = [("a", s, r) for s, r in enumerate([0.1, -0.05, 0.02, -0.2], 1)] + [("b", s, 0.01) for s in range(1, 5)]
+    curve = spark.createDataFrame(rows, "config string, seq int, net double").selectExpr("*", "exp(sum(ln(1 + net)) over (partition by config order by seq)) as equity", "1.0D as book", "0.5D as turnover")
+    got = {r["config"]: r for r in metrics.backtest_stats(curve, ("config",)).collect()}
+    assert got["a"]["episodes"] == 1 and got["a"]["longest"] == 3 and got["b"]["max_drawdown"] == 0 and got["a"]["holding_period"] == 4.0
+    alone = metrics.backtest_stats(curve.where("config = 'a'")).collect()
+    assert len(alone) == 1 and alone[0]["max_drawdown"] == got["a"]["max_drawdown"] and alone[0]["gain_hhi"] == got["a"]["gain_hhi"]
+
+
+def test_verdict_is_about_models_that_are_not_linear():
+    judge = models.judge
+    assert judge({"elastic_net": 0.05, "lasso": 0.09, "mlp": 0.055})["verdict"] == "the linear model is not beaten"  # lasso is no complexity
+    assert judge({"elastic_net": 0.0, "mlp": 0.01})["beats_linear"] and judge({"elastic_net": 0.0, "mlp": 0.01})["best_nonlinear"] == "mlp"  # the margin itself is enough
+    assert judge({"elastic_net": None, "mlp": 0.5})["verdict"].startswith("inconclusive") and not judge({"elastic_net": None, "mlp": 0.5})["beats_linear"]
+    assert not judge({"elastic_net": 0.05, "xgboost": None})["beats_linear"] and judge({"elastic_net": 0.05, "xgboost": None})["gain"] is None
+    assert judge({"elastic_net": -0.02, "mlp": -0.005})["beats_linear"]
+
+
+def test_attribution_in_one_call(spark):
+    world = synthetic.synthetic_world(spark, [f"S{i}" for i in range(9)], 300, seed=6, drift=0.01)
+    strategy = world.groupBy("date").agg((F.avg("ret") * 0.5 + F.lit(0.0003)).alias("net")) if "ret" in world.columns else attribution.factor_returns(world).select("date", (F.col("MKT") * 0.5 + 0.0003).alias("net"))
+    fit = attribution.attribute(strategy, world, "ff5")
+    assert fit["available_factors"][:2] == ["MKT", "UMD"] and not fit["fundamentals_used"] and fit["missing_factors"] == ["SMB", "HML", "RMW", "CMA"] and "prices only" in fit["note"]
+    assert abs(fit["betas"]["MKT"] - 0.5) < 1e-6 and abs(fit["systematic_share"] - 1) < 1e-6
+    nested = attribution.nested_models(strategy, attribution.factor_returns(world), ("MKT", "UMD"))
+    assert [m["factors"] for m in nested] == [["MKT"], ["MKT", "UMD"]] and abs(nested[0]["betas"]["MKT"] - 0.5) < 1e-9 and nested[1]["r2"] >= nested[0]["r2"] - 1e-12
+    data = np.random.default_rng(0).normal(size=(80, 4))
+    frame = spark.createDataFrame([(datetime.date(2020, 1, 1) + datetime.timedelta(i), *map(float, r)) for i, r in enumerate(data)], "date date, net double, MKT double, SMB double, HML double")
+    last = attribution.nested_models(frame.select("date", "net"), frame.drop("net"), ("MKT", "SMB", "HML"))[-1]
+    whole = attribution.ols(frame, "net", ["MKT", "SMB", "HML"])
+    assert np.allclose([last["alpha"], *last["betas"].values()], whole["coef"]) and np.allclose([last["alpha_t"], *last["beta_t"].values()], whole["t"]) and abs(last["r2"] - whole["r2"]) < 1e-9
+
+
+def test_asof_joins(spark):
+    at = lambda s: datetime.datetime(2020, 1, 1) + datetime.timedelta(seconds=s)
+    left = spark.createDataFrame([(1, at(5), "a"), (1, at(200_000), "b"), (1, at(0), "c"), (2, at(9), "d"), (None, at(9), "e"), (1, None, "f"), (1, at(5), "g")], "k int, t timestamp, v string")
+    right = spark.createDataFrame([(1, at(5), 1, 10), (1, at(5), 2, 20), (1, at(90_000), 3, 30), (3, at(1), 4, 40), (None, at(1), 5, 50), (1, None, 6, 60)], "k int, t timestamp, n int, v int")
+    got = {r["v"]: r["right_v"] for r in asof.asof_join(left, right, ["k"], "t", values=["v"], order=["n"]).collect()}
+    assert got == {"a": 20, "b": 30, "c": None, "d": None, "e": None, "f": None, "g": 20}
+    near = {r["v"]: r["right_v"] for r in asof.asof_join(left, right, ["k"], "t", values=["v"], order=["n"], tolerance="1 day").collect()}
+    assert near == got | {"b": None}
+    for width in ("10 seconds", "30 days"):
+        assert {r["v"]: r["right_v"] for r in asof.asof_join(left, right, ["k"], "t", values=["v"], order=["n"], width=width).collect()} == got
+    assert asof.asof_join(left, right.where("false"), ["k"], "t").count() == 7 and asof.asof_join(left.where("false"), right, ["k"], "t").count() == 0
