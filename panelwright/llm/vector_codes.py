@@ -20,7 +20,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import Context, Decimal
+from decimal import Context
 
 import numpy as np
 import pyarrow as pa
