@@ -16,7 +16,11 @@ method, by partitions in which two fingerprints must agree:
    Rows that agree in fewer than ``LEAST`` of all bytes (four deviations under 0.8) are no candidates.
 4. Candidates are verified by their exact shingle sets, each text's best first, then three, then all that still are in different
    classes; so a large group is joined by few comparisons, and no candidate is left out that could join two classes.
-5. Verified links and equal texts give classes.
+5. A key of over ``NEAR + 1`` rows that still are in several classes gets the rest: all its pairs of different classes are compared by
+   fingerprint, in tasks of two blocks of about ``BLOCK`` rows, and candidates among them verified as before. So neighbours only spare
+   comparisons inside classes, and all texts that agree in a partition are candidates of each other; work is quadratic only in keys whose
+   texts are no copies of each other.
+6. Verified links and equal texts give classes.
 
 Defined results: as in ``simhash``; wordless and null texts are equal to each other; a text of fewer than ``width``
 words has its whole sequence as its one shingle; of an id with several texts, each is compared on its own.
@@ -37,6 +41,8 @@ from .simhash import links
 
 #: Partitions of the wide fingerprint and the hashes of each; rows that a row meets; the least bytes in which candidates agree.
 BANDS, ROWS, NEAR, LEAST = 16, 4, 8, 38
+#: Rows of a block of a crowded key, about.
+BLOCK = 2048
 #: Candidates of a text that are verified in each round; None for all that are left.
 ROUNDS = (1, 3, None)
 #: An odd multiplier for hashes, modulo 2**64 (fixed value).
@@ -176,9 +182,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     return map_batches(held, make, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
 
 
-def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, component) of the texts that verified candidates (a_node, b_node, ka, kb, equal) link."""
-    left, links, classes = Written(candidates, "candidates"), None, None
+def _apart_pairs(distinct: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, equal): keys of texts of different ``classes`` that agree in a partition that over ``NEAR + 1`` texts have."""
+    every = distinct.where(F.size("bands") > 0).select("key", "node", F.explode("bands").alias("band"))
+    crowded = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEAR + 1)
+    crowded = crowded.select(apart(crowded, "band").alias("b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    of_text = classes.select(F.col("node").alias("of"), "component")
+    placed = every.join(crowded.hint("merge"), F.col("band") == F.col("b")).join(of_text.hint("merge"), F.col("node") == F.col("of"), "left")
+    rows = placed.select("band", "key", "blocks", F.xxhash64(F.coalesce("component", "node")).alias("class"))
+    several = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    rows = rows.join(several.select(apart(several, "band").alias("b")).hint("merge"), F.col("band") == F.col("b")).drop("b")
+    marks = distinct.select(F.col("key").alias("k"), "wide")
+    rows = rows.join(marks.hint("merge"), F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    tasks = rows.select("band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "key", "class", "wide")
+    tasks = tasks.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "key", "class", "wide")).alias("rows"))
+
+    def make():
+        def step(batch):
+            for i, j, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows = pa.RecordBatch.from_struct_array(cell.values)
+                block, key, of = (rows.column(c).to_numpy() for c in range(3))
+                marks = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+                for x in range(len(key)):
+                    others = np.arange(x + 1, len(key)) if i == j else np.flatnonzero(block == j) if block[x] == i else []
+                    others = others[of[others] != of[x]] if len(others) else others
+                    if not len(others):
+                        continue
+                    equal = (marks[others] == marks[x]).sum(axis=1)
+                    others, equal = others[equal >= LEAST], equal[equal >= LEAST]
+                    if len(others):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[others], key[x])), pa.array(np.maximum(key[others], key[x])), pa.array(equal, pa.int32())], ["a", "b", "equal"])
+
+        return step
+
+    return map_batches(tasks.select("i", "j", "rows"), make, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+
+
+def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((node, component) of the texts that ``links`` and verified candidates (a_node, b_node, ka, kb, equal) link, all links)."""
+    left, classes = Written(candidates, "candidates"), None
     for most in ROUNDS:
         before = left
         if classes is not None:  # only what could still join two classes
@@ -201,7 +243,7 @@ def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: flo
         chosen.remove()
         links = found if links is None else links.unionAll(found)
         classes = components(links)
-    return classes
+    return classes, links
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -219,11 +261,17 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = _near_pairs(distinct).unionAll(alike).groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
     of_text = distinct.select("key", "n", "node")
-    one, two = of_text.toDF("ka", "na", "a_node"), of_text.toDF("kb", "nb", "b_node")
-    sized = pairs.join(one.hint("merge"), F.col("a") == F.col("ka")).join(two.hint("merge"), F.col("b") == F.col("kb"))
-    fits = F.least("na", "nb") + 1e-6 >= similarity * F.greatest("na", "nb")  # the lesser set holds all that both share
-    candidates = sized.where(fits & (F.col("a_node") != F.col("b_node"))).select("a_node", "b_node", "ka", "kb", "equal")
-    classes = _classes(candidates, docs, width, similarity)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        one, two = of_text.toDF("ka", "na", "a_node"), of_text.toDF("kb", "nb", "b_node")
+        sized = pairs.join(one.hint("merge"), F.col("a") == F.col("ka")).join(two.hint("merge"), F.col("b") == F.col("kb"))
+        fits = F.least("na", "nb") + 1e-6 >= similarity * F.greatest("na", "nb")  # the lesser set holds all that both share
+        return sized.where(fits & (F.col("a_node") != F.col("b_node"))).select("a_node", "b_node", "ka", "kb", "equal")
+
+    classes, verified = _classes(candidates(pairs), docs, width, similarity)
+    with Written(candidates(_apart_pairs(distinct, classes)), "rest") as rest:
+        if not rest.isEmpty():
+            classes, _ = _classes(rest, docs, width, similarity, verified)
     of_key = distinct.join(classes, "node", "left").select(F.col("key").alias("k"), F.col("fp").alias("f"), F.col("n").alias("m"), F.coalesce("component", "node").alias("component"))
     found = described.join(of_key.hint("merge"), (F.col("key") == F.col("k")) & (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")))
     return found.select(F.col("id").alias(id_col), "component")

@@ -370,6 +370,28 @@ def test_versions_of_a_text(spark, length):
     assert all(want[i] == want[c] for i, c in got.items())  # and no class joins what links don't
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_partners_beyond_the_nearest_rows(spark, monkeypatch, block):
+    """Fingerprints that agree in one partition with all and in enough bytes with one that sorts far from them."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = np.random.default_rng(19)
+    marks = rng.integers(0, 256, (60, N.BANDS * N.ROWS), dtype=np.uint8)
+    marks[30:] = marks[:30]
+    marks[:, : N.ROWS] = 1
+    marks[:30, N.ROWS : 2 * N.ROWS], marks[30:, N.ROWS : 2 * N.ROWS] = 0, 255
+    bands = [[7, *(int(x) for x in rng.integers(100, 1 << 60, N.BANDS - 1))] for _ in marks]
+    rows = [(k, str(k), b, bytearray(m.tobytes())) for k, (b, m) in enumerate(zip(bands, marks, strict=True))]
+    distinct = spark.createDataFrame(rows, "key long, node string, bands array<long>, wide binary")
+    want = {(a, b): int((marks[a] == marks[b]).sum()) for a, b in itertools.combinations(range(60), 2)}
+    want = {(*p, n) for p, n in want.items() if n >= N.LEAST}
+    near = {tuple(r) for r in N._near_pairs(distinct).collect()}
+    assert len(want) == 30 and want - near  # neighbours alone lose some
+    classes = spark.createDataFrame([], "node string, component string")
+    assert {tuple(r) for r in N._apart_pairs(distinct, classes).collect()} == want
+    joined = spark.createDataFrame([(str(k), str(k % 30)) for k in range(20)] + [(str(k + 30), str(k)) for k in range(20)], "node string, component string")
+    assert {tuple(r)[:2] for r in N._apart_pairs(distinct, joined).collect()} == {(k, k + 30) for k in range(20, 30)}
+
+
 def test_rows_that_meet_across_tasks():
     """Neighbours are found whatever the batches and tasks that the ordered rows are dealt to."""
     rng = np.random.default_rng(4)
