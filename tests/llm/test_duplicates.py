@@ -392,6 +392,20 @@ def test_partners_beyond_the_nearest_rows(spark, monkeypatch, block):
     assert {tuple(r)[:2] for r in N._apart_pairs(distinct, joined).collect()} == {(k, k + 30) for k in range(20, 30)}
 
 
+def test_passages_whose_parts_have_other_ends(spark):
+    """Documents between others that hold every part of 35 words of their passage, but never 50 words of it."""
+    r = random.Random(20)
+    text = lambda n: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passages, docs = [text(63 + 3 * p) for p in range(8)], []
+    for p, passage in enumerate(passages):
+        docs += [(1000 + 10 * p + i, " ".join([*text(60), *passage, *text(60)])) for i in range(3)]
+        for k in range(0, len(passage) - 34, 4):
+            docs += [(first + 100 * p + k, " ".join([*text(60), *passage[k : k + 35], *text(60)])) for first in (0, 5000)]
+    out = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {frozenset((x["a"], x["b"])) for x in out} >= {frozenset((1000 + 10 * p + i, 1000 + 10 * p + j)) for p in range(8) for i in range(3) for j in range(i)}
+    assert all(1000 <= x["a"] < 2000 and x["b"] < 2000 for x in out)
+
+
 def test_rows_that_meet_across_tasks():
     """Neighbours are found whatever the batches and tasks that the ordered rows are dealt to."""
     rng = np.random.default_rng(4)
