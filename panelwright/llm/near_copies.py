@@ -218,12 +218,15 @@ def _apart_pairs(distinct: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(tasks.select("i", "j", "rows"), make, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
-def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((node, component) of the texts that ``links`` and verified candidates (a_node, b_node, ka, kb, equal) link, all links)."""
-    left, classes = Written(candidates, "candidates"), None
-    for most in ROUNDS:
+def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the texts that ``known`` classes and verified candidates (a_node, b_node, ka, kb, equal) link.
+
+    Each round starts from the classes of the one before, which stand for all links found so far.
+    """
+    left, classes = Written(candidates, "candidates"), known
+    for place, most in enumerate(ROUNDS):
         before = left
-        if classes is not None:  # only what could still join two classes
+        if place:  # only what could still join two classes
             one, two = (classes.select(F.col("node").alias(f"{x}_of"), F.col("component").alias(f"{x}_class")) for x in "ab")
             placed = left.df.join(one, F.col("a_node") == F.col("a_of"), "left").join(two, F.col("b_node") == F.col("b_of"), "left")
             left = Written(placed.where("coalesce(a_class, a_node) <> coalesce(b_class, b_node)").select("a_node", "b_node", "ka", "kb", "equal"), "candidates")
@@ -236,14 +239,18 @@ def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: flo
             each = left.df.select("*", F.explode(F.array("ka", "kb")).alias("node"))  # a text has BANDS * NEAR * 2 candidates at most
             best = each.withColumn("place", F.row_number().over(by_node)).where(F.col("place") <= most)
             chosen = Written(best.select("a_node", "b_node", "ka", "kb").distinct(), "chosen")
-        found = Written(_verified(chosen.df, docs, width, similarity), "links").df
+        found = Written(_verified(chosen.df, docs, width, similarity), "links")
         if most is not None:
             before, left = left, Written(left.df.join(chosen.df.select("ka", "kb"), ["ka", "kb"], "left_anti").select(left.df.columns), "candidates")
             before.remove()
         chosen.remove()
-        links = found if links is None else links.unionAll(found)
-        classes = components(links)
-    return classes, links
+        if classes is None:
+            classes = components(found.df)
+        elif not found.df.isEmpty():
+            classes = components(found.df.unionAll(classes.select("node", "component")))
+        found.remove()
+    left.remove()
+    return classes
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -268,10 +275,10 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         fits = F.least("na", "nb") + 1e-6 >= similarity * F.greatest("na", "nb")  # the lesser set holds all that both share
         return sized.where(fits & (F.col("a_node") != F.col("b_node"))).select("a_node", "b_node", "ka", "kb", "equal")
 
-    classes, verified = _classes(candidates(pairs), docs, width, similarity)
+    classes = _classes(candidates(pairs), docs, width, similarity)
     with Written(candidates(_apart_pairs(distinct, classes)), "rest") as rest:
         if not rest.isEmpty():
-            classes, _ = _classes(rest, docs, width, similarity, verified)
+            classes = _classes(rest, docs, width, similarity, classes)
     of_key = distinct.join(classes, "node", "left").select(F.col("key").alias("k"), F.col("fp").alias("f"), F.col("n").alias("m"), F.coalesce("component", "node").alias("component"))
     found = described.join(of_key.hint("merge"), (F.col("key") == F.col("k")) & (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")))
     return found.select(F.col("id").alias(id_col), "component")

@@ -421,3 +421,16 @@ def test_rows_that_meet_across_tasks():
     whole = met([[rows]])
     assert whole == met([[rows[:7], [], rows[7:]]]) and len(whole) > 10
     assert whole <= met([[rows[:20]], [rows[20:22], rows[22:40]], [], [rows[40:]]])
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    """No round is spent on seeing that nothing changes: the edges are written once at first and once for the only round."""
+    from panelwright.llm import components as module
+
+    names, write = [], module.Written
+    monkeypatch.setattr(module, "Written", lambda df, name: names.append(name) or write(df, name))
+    edges = spark.createDataFrame([(1, 2), (1, 3), (5, 4), (4, 6), (7, 7)], "a long, b long")
+    assert {x["node"]: x["component"] for x in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+    assert len(names) == 2
+    for rows, stars in (([], True), ([(2, 1), (3, 1)], True), ([(3, 1), (3, 2)], False), ([(3, 2), (2, 1)], False)):
+        assert module._stars(spark.createDataFrame(rows, "u long, v long")) is stars
