@@ -17,9 +17,10 @@ method, by partitions in which two fingerprints must agree:
 4. Candidates are verified by their exact shingle sets, each text's best first, then three, then all that still are in different
    classes; so a large group is joined by few comparisons, and no candidate is left out that could join two classes.
 5. A key of over ``NEAR + 1`` rows that still are in several classes gets the rest: all its pairs of different classes are compared by
-   fingerprint, in tasks of two blocks of about ``BLOCK`` rows, and candidates among them verified as before. So neighbours only spare
-   comparisons inside classes, and all texts that agree in a partition are candidates of each other; work is quadratic only in keys whose
-   texts are no copies of each other.
+   fingerprint, in tasks of two blocks of about ``BLOCK`` rows or ``BLOCK_BYTES``, and candidates among them by their sets of hashed shingles there and
+   then. A pair that has the similarity joins its classes for the rest of the task, so a task hands on fewer links than it has rows; these
+   are verified as before. So neighbours only spare comparisons inside classes, and all texts that agree in a partition are candidates of
+   each other; time is quadratic only in keys whose texts are no copies of each other, and what is written never is.
 6. Verified links and equal texts give classes.
 
 Defined results: as in ``simhash``; wordless and null texts are equal to each other; a text of fewer than ``width``
@@ -41,8 +42,8 @@ from .simhash import links
 
 #: Partitions of the wide fingerprint and the hashes of each; rows that a row meets; the least bytes in which candidates agree.
 BANDS, ROWS, NEAR, LEAST = 16, 4, 8, 38
-#: Rows of a block of a crowded key, about.
-BLOCK = 2048
+#: Rows of a block of a crowded key and bytes of their hashed shingles, about.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Candidates of a text that are verified in each round; None for all that are left.
 ROUNDS = (1, 3, None)
 #: An odd multiplier for hashes, modulo 2**64 (fixed value).
@@ -73,19 +74,24 @@ def wide(distinct: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys, least.astype(np.uint8).tobytes()
 
 
-def sketch(text: str, width: int) -> tuple[int, int, int, np.ndarray, bytes]:
-    """(hash of the words, SimHash of the distinct shingles, their number, keys of the partitions, wide fingerprint)."""
-    tokens = words(text)
-    key = xxhash.xxh64_intdigest(b" ".join(tokens), 1)
-    if not tokens:
-        return key, 0, 1, np.zeros(0, np.uint64), b""
+def hashes(tokens: list[bytes], width: int) -> np.ndarray:
+    """The distinct shingles of some words, as sorted hashes."""
     hashed = np.array(list(map(xxhash.xxh64_intdigest, tokens)), np.uint64)
     n = max(1, len(hashed) - width + 1)
     total = np.zeros(n, np.uint64)
     for j in range(min(width, len(hashed))):
         total = (total ^ hashed[j : j + n]) * MIX
         total ^= total >> np.uint64(29)
-    distinct = np.unique(total)
+    return np.unique(total)
+
+
+def sketch(text: str, width: int) -> tuple[int, int, int, np.ndarray, bytes]:
+    """(hash of the words, SimHash of the distinct shingles, their number, keys of the partitions, wide fingerprint)."""
+    tokens = words(text)
+    key = xxhash.xxh64_intdigest(b" ".join(tokens), 1)
+    if not tokens:
+        return key, 0, 1, np.zeros(0, np.uint64), b""
+    distinct = hashes(tokens, width)
     votes = sum(np.unpackbits(distinct[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(distinct), 65_536))
     fp = int.from_bytes(np.packbits(2 * votes > len(distinct)).tobytes(), "big")
     return key, fp, len(distinct), *wide(distinct)
@@ -182,27 +188,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     return map_batches(held, make, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
 
 
-def _apart_pairs(distinct: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, equal): keys of texts of different ``classes`` that agree in a partition that over ``NEAR + 1`` texts have."""
-    every = distinct.where(F.size("bands") > 0).select("key", "node", F.explode("bands").alias("band"))
-    crowded = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEAR + 1)
-    crowded = crowded.select(apart(crowded, "band").alias("b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _apart_rows(distinct: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, key, node, blocks, class): the texts of partitions that over ``NEAR + 1`` texts of several ``classes`` have."""
+    held = (F.col("n") if "n" in distinct.columns else F.lit(0)) * 8
+    every = distinct.where(F.size("bands") > 0).select("key", "node", held.alias("held"), F.explode("bands").alias("band"))
+    crowded = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held")).where(F.col("n") > NEAR + 1)
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_BYTES)).cast("int")
+    crowded = crowded.select(apart(crowded, "band").alias("b"), blocks.alias("blocks"))
     of_text = classes.select(F.col("node").alias("of"), "component")
     placed = every.join(crowded.hint("merge"), F.col("band") == F.col("b")).join(of_text.hint("merge"), F.col("node") == F.col("of"), "left")
-    rows = placed.select("band", "key", "blocks", F.xxhash64(F.coalesce("component", "node")).alias("class"))
+    rows = placed.select("band", "key", "node", "blocks", F.xxhash64(F.coalesce("component", "node")).alias("class"))
     several = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    rows = rows.join(several.select(apart(several, "band").alias("b")).hint("merge"), F.col("band") == F.col("b")).drop("b")
+    return rows.join(several.select(apart(several, "band").alias("b")).hint("merge"), F.col("band") == F.col("b")).drop("b")
+
+
+def _sets(texts_of: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(k, hashes): the sorted hashes of the shingles of the texts (key, node)."""
+    held = docs.join(texts_of.hint("merge"), F.col("id") == F.col("node")).select("key", "text")
+
+    def make():
+        def step(batch):
+            rows = [(k, hashes(words(t), width).tobytes()) for k, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) if _key(t) == k]  # an id may have other texts
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["k", "hashes"])
+
+        return step
+
+    return map_batches(held, make, "k long, hashes binary").dropDuplicates(["k"])
+
+
+def _shared(sets: list[np.ndarray]):
+    """A function of a row: the shingles that its set shares with each of ``sets``."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    owners, ends = np.repeat(np.arange(len(sets)), sizes)[order], np.cumsum(np.bincount(codes))
+    starts, bounds = np.append(0, ends[:-1]), np.append(0, np.cumsum(sizes))
+
+    def of(x: int) -> np.ndarray:
+        return np.bincount(np.concatenate([owners[starts[c] : ends[c]] for c in codes[bounds[x] : bounds[x + 1]]]), minlength=len(sets))
+
+    return of, sizes
+
+
+def _apart_pairs(distinct: DataFrame, classes: DataFrame, docs: DataFrame | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b, equal): keys of texts of different ``classes`` that agree in a partition that over ``NEAR + 1`` texts have.
+
+    With ``docs``, only pairs whose hashed shingles have the similarity, and of these only what joins two classes of a task.
+    """
+    rows = _apart_rows(distinct, classes)
     marks = distinct.select(F.col("key").alias("k"), "wide")
+    if docs is not None:
+        rows = cut_lineage(rows)
+        marks = marks.join(_sets(rows.select("key", "node").distinct(), docs, width).hint("merge"), "k")
+    else:
+        marks = marks.withColumn("hashes", F.lit(None).cast("binary"))
     rows = rows.join(marks.hint("merge"), F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    tasks = rows.select("band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "key", "class", "wide")
-    tasks = tasks.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "key", "class", "wide")).alias("rows"))
+    held = ["block", "key", "class", "wide", "hashes"]
+    tasks = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), *held)
+    tasks = tasks.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct(*held)).alias("rows"))
 
     def make():
         def step(batch):
             for i, j, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 rows = pa.RecordBatch.from_struct_array(cell.values)
                 block, key, of = (rows.column(c).to_numpy() for c in range(3))
+                of, whole = of.copy(), rows.column(4).null_count == 0
                 marks = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+                if whole:
+                    shared, sizes = _shared([np.frombuffer(x, np.uint64) for x in rows.column(4).to_pylist()])
                 for x in range(len(key)):
                     others = np.arange(x + 1, len(key)) if i == j else np.flatnonzero(block == j) if block[x] == i else []
                     others = others[of[others] != of[x]] if len(others) else others
@@ -210,6 +263,15 @@ def _apart_pairs(distinct: DataFrame, classes: DataFrame) -> DataFrame:
                         continue
                     equal = (marks[others] == marks[x]).sum(axis=1)
                     others, equal = others[equal >= LEAST], equal[equal >= LEAST]
+                    if whole and len(others):
+                        both = shared(x)[others]
+                        alike = both / (sizes[x] + sizes[others] - both) >= similarity
+                        joins = []
+                        for y in np.flatnonzero(alike):
+                            if of[others[y]] != of[x]:
+                                of[of == of[others[y]]] = of[x]
+                                joins.append(y)
+                        others, equal = others[joins], equal[joins]
                     if len(others):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[others], key[x])), pa.array(np.maximum(key[others], key[x])), pa.array(equal, pa.int32())], ["a", "b", "equal"])
 
@@ -218,13 +280,13 @@ def _apart_pairs(distinct: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(tasks.select("i", "j", "rows"), make, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
-def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
+def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float, known: DataFrame | None = None, rounds: tuple[int | None, ...] = ROUNDS) -> DataFrame:
     """(node, component) of the texts that ``known`` classes and verified candidates (a_node, b_node, ka, kb, equal) link.
 
     Each round starts from the classes of the one before, which stand for all links found so far.
     """
     left, classes = Written(candidates, "candidates"), known
-    for place, most in enumerate(ROUNDS):
+    for place, most in enumerate(rounds):
         before = left
         if place:  # only what could still join two classes
             one, two = (classes.select(F.col("node").alias(f"{x}_of"), F.col("component").alias(f"{x}_class")) for x in "ab")
@@ -276,9 +338,8 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return sized.where(fits & (F.col("a_node") != F.col("b_node"))).select("a_node", "b_node", "ka", "kb", "equal")
 
     classes = _classes(candidates(pairs), docs, width, similarity)
-    with Written(candidates(_apart_pairs(distinct, classes)), "rest") as rest:
-        if not rest.isEmpty():
-            classes = _classes(rest, docs, width, similarity, classes)
+    rest = candidates(_apart_pairs(distinct, classes, docs, width, similarity))
+    classes = _classes(rest, docs, width, similarity, classes, rounds=(None,))  # few, and nearly all of them are links
     of_key = distinct.join(classes, "node", "left").select(F.col("key").alias("k"), F.col("fp").alias("f"), F.col("n").alias("m"), F.coalesce("component", "node").alias("component"))
     found = described.join(of_key.hint("merge"), (F.col("key") == F.col("k")) & (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")))
     return found.select(F.col("id").alias(id_col), "component")

@@ -434,3 +434,30 @@ def test_components_end_at_stars(spark, monkeypatch):
     assert len(names) == 2
     for rows, stars in (([], True), ([(2, 1), (3, 1)], True), ([(3, 1), (3, 2)], False), ([(3, 2), (2, 1)], False)):
         assert module._stars(spark.createDataFrame(rows, "u long, v long")) is stars
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+def test_rest_of_a_crowded_key_is_linear(spark, monkeypatch, block):
+    """Of two groups of 40 near copies each, in as many classes as texts, a task hands on fewer links than it has rows; the groups end whole."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    r = random.Random(23)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    docs = []
+    for g in range(2):
+        body = [word() for _ in range(400)]
+        for k in range(40):
+            edited = list(body)
+            edited[5 * k + 3] = word()
+            docs.append((40 * g + k, " ".join(edited)))
+    frame = spark.createDataFrame(docs, "id long, text string")
+    distinct = spark.createDataFrame(
+        [(k, i, n, [7, *(1000 + 100 * i + b for b in range(N.BANDS - 1))], bytearray(wide)) for i, t in docs for k, n, wide in [(N._key(t), *[N.sketch(t, 5)[c] for c in (2, 4)])]],
+        "key long, node long, n long, bands array<long>, wide binary",
+    )
+    classes = spark.createDataFrame([], "node long, component long")
+    node = {x["key"]: x["node"] for x in distinct.collect()}
+    every, few = ([(node[x["a"]], node[x["b"]]) for x in pairs.collect()] for pairs in (N._apart_pairs(distinct, classes), N._apart_pairs(distinct, classes, frame)))
+    tasks = 1 if block == 2048 else 10
+    assert len(every) >= 1000 and set(few) <= set(every) and 78 <= len(few) <= 80 * tasks and all(a // 40 == b // 40 for a, b in few)
+    ends = components(spark.createDataFrame(few, "a long, b long")).collect()
+    assert {x["node"]: x["component"] for x in ends} == {i: i // 40 * 40 for i in range(80)}
