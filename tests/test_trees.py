@@ -87,3 +87,20 @@ def test_odd_rows(spark):
     boosters = T.fit(rows, ["a"], shape)
     assert [round(r["prediction"], 9) for r in T.predict(rows, ["a"], boosters).orderBy("row").collect()] == [1.0, 3.0, 3.0, 3.0]
     assert [r["prediction"] for r in T.predict(rows.selectExpr("*", "9 as g"), ["a"], boosters, "g").collect()] == [None] * 4
+
+
+def test_models_read_folds_from_a_table(spark, monkeypatch):
+    """Tasks over a cached plan send the driver the metrics of all its steps in every job of every model."""
+    from panelwright.operators import models
+    from panelwright.plans import catalogue
+
+    seen = []
+
+    def compare(folds, features, n_folds, **_):
+        seen.append((folds._jdf.queryExecution().executedPlan().toString(), folds.count(), folds.inputFiles()))
+        return {"leaderboard": [{"model": "none", "rank_ic": 0.5, "long_short_sharpe": 0.5, "n_dates": 1}]}
+
+    monkeypatch.setattr(models, "compare", compare)
+    assert catalogue.ladder_leaderboard(spark, "/root/testdata/sf0.001").count() == 1
+    plan, n, files = seen[0]
+    assert "InMemoryTableScan" not in plan and "Exchange" not in plan and "parquet" in plan.lower() and n > 0 and files
