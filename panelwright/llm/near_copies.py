@@ -14,7 +14,7 @@ method, by partitions in which two fingerprints must agree:
 3. Each row meets the ``NEAR`` rows before it with its key, across ranges too: those that agree in most of the following bytes.
    Versions of a text, each an edit of an earlier one, so meet the versions nearest to them, in several orders.
    Rows that agree in fewer than ``LEAST`` of all bytes (four deviations under 0.8) are no candidates.
-4. Candidates are verified by their exact shingle sets, each text's best first, then three, then all that still are in different
+4. Candidates are verified by their exact shingle sets, each text's best three first, then all that still are in different
    classes; so a large group is joined by few comparisons, and no candidate is left out that could join two classes.
 5. A key of over ``NEAR + 1`` rows that still are in several classes gets the rest: all its pairs of different classes are compared by
    fingerprint, in tasks of two blocks of about ``BLOCK`` rows or ``BLOCK_BYTES``, and candidates among them by their sets of hashed shingles there and
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Written, apart, cut_lineage, id_and_text, map_batches, texts, with_id
-from .components import components
+from .components import pointers
 from .simhash import links
 
 #: Partitions of the wide fingerprint and the hashes of each; rows that a row meets; the least bytes in which candidates agree.
@@ -45,7 +45,7 @@ BANDS, ROWS, NEAR, LEAST = 16, 4, 8, 38
 #: Rows of a block of a crowded key and bytes of their hashed shingles, about.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Candidates of a text that are verified in each round; None for all that are left.
-ROUNDS = (1, 3, None)
+ROUNDS = (3, None)
 #: An odd multiplier for hashes, modulo 2**64 (fixed value).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: What tells the wide fingerprint's hashes apart.
@@ -159,7 +159,7 @@ def _meet(batches):
 
 
 def _near_pairs(distinct: DataFrame) -> DataFrame:
-    """(a, b, equal): keys of texts that meet in some partition, and the bytes in which they agree."""
+    """(a, b, equal): keys of texts that meet in some partition, and the bytes in which they agree; a row for each partition."""
     turned = lambda j: F.concat(F.expr(f"substring(wide, {ROWS * j + ROWS + 1})"), F.expr(f"substring(wide, 1, {ROWS * j + ROWS})"))
     rows = F.array(*[F.struct(F.col("bands")[j].alias("band"), turned(j).alias("turned")) for j in range(BANDS)])
     every = distinct.where(F.size("bands") > 0).select("key", F.explode(rows).alias("row")).select("row.band", "row.turned", "key")
@@ -167,7 +167,7 @@ def _near_pairs(distinct: DataFrame) -> DataFrame:
     met = cut_lineage(every.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet, MEETINGS))
     ends = met.where("band is not null").select(*order).distinct()  # a few rows a task, so that rows meet across tasks
     across = ends.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(_meet, MEETINGS)
-    return met.unionByName(across).where("a is not null").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return met.unionByName(across).where("a is not null").select("a", "b", "equal")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -191,15 +191,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
 def _apart_rows(distinct: DataFrame, classes: DataFrame) -> DataFrame:
     """(band, key, node, blocks, class): the texts of partitions that over ``NEAR + 1`` texts of several ``classes`` have."""
     held = (F.col("n") if "n" in distinct.columns else F.lit(0)) * 8
-    every = distinct.where(F.size("bands") > 0).select("key", "node", held.alias("held"), F.explode("bands").alias("band"))
-    crowded = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held")).where(F.col("n") > NEAR + 1)
+    of_text = classes.select(F.col("node").alias("of"), "component")
+    placed = distinct.where(F.size("bands") > 0).join(of_text.hint("merge"), F.col("node") == F.col("of"), "left")
+    every = placed.select("key", "node", held.alias("held"), F.xxhash64(F.coalesce("component", "node")).alias("class"), F.explode("bands").alias("band"))
+    by_band = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    crowded = by_band.where((F.col("n") > NEAR + 1) & (F.col("lo") != F.col("hi")))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_BYTES)).cast("int")
     crowded = crowded.select(apart(crowded, "band").alias("b"), blocks.alias("blocks"))
-    of_text = classes.select(F.col("node").alias("of"), "component")
-    placed = every.join(crowded.hint("merge"), F.col("band") == F.col("b")).join(of_text.hint("merge"), F.col("node") == F.col("of"), "left")
-    rows = placed.select("band", "key", "node", "blocks", F.xxhash64(F.coalesce("component", "node")).alias("class"))
-    several = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    return rows.join(several.select(apart(several, "band").alias("b")).hint("merge"), F.col("band") == F.col("b")).drop("b")
+    return every.join(crowded.hint("merge"), F.col("band") == F.col("b")).select("band", "key", "node", "blocks", "class")
 
 
 def _sets(texts_of: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -281,37 +280,34 @@ def _apart_pairs(distinct: DataFrame, classes: DataFrame, docs: DataFrame | None
 
 
 def _classes(candidates: DataFrame, docs: DataFrame, width: int, similarity: float, known: DataFrame | None = None, rounds: tuple[int | None, ...] = ROUNDS) -> DataFrame:
-    """(node, component) of the texts that ``known`` classes and verified candidates (a_node, b_node, ka, kb, equal) link.
+    """(node, component) of the texts that ``known`` classes and verified candidates (a_node, b_node, ka, kb, equal) link, smallest ones left out.
 
     Each round starts from the classes of the one before, which stand for all links found so far.
     """
-    left, classes = Written(candidates, "candidates"), known
+    left, written, classes = candidates, None, known
     for place, most in enumerate(rounds):
-        before = left
+        before = written
         if place:  # only what could still join two classes
             one, two = (classes.select(F.col("node").alias(f"{x}_of"), F.col("component").alias(f"{x}_class")) for x in "ab")
-            placed = left.df.join(one, F.col("a_node") == F.col("a_of"), "left").join(two, F.col("b_node") == F.col("b_of"), "left")
-            left = Written(placed.where("coalesce(a_class, a_node) <> coalesce(b_class, b_node)").select("a_node", "b_node", "ka", "kb", "equal"), "candidates")
-            before.remove()
-            if left.df.isEmpty():
-                break
-        chosen = left
-        if most is not None:
+            placed = left.join(one, F.col("a_node") == F.col("a_of"), "left").join(two, F.col("b_node") == F.col("b_of"), "left")
+            left = placed.where("coalesce(a_class, a_node) <> coalesce(b_class, b_node)").select("a_node", "b_node", "ka", "kb", "equal")
+        if most is not None:  # a pair's place is its better one in its two texts' orders
             by_node = Window.partitionBy("node").orderBy(F.desc("equal"), F.xxhash64("ka", "kb"), "ka", "kb")
-            each = left.df.select("*", F.explode(F.array("ka", "kb")).alias("node"))  # a text has BANDS * NEAR * 2 candidates at most
-            best = each.withColumn("place", F.row_number().over(by_node)).where(F.col("place") <= most)
-            chosen = Written(best.select("a_node", "b_node", "ka", "kb").distinct(), "chosen")
-        found = Written(_verified(chosen.df, docs, width, similarity), "links")
-        if most is not None:
-            before, left = left, Written(left.df.join(chosen.df.select("ka", "kb"), ["ka", "kb"], "left_anti").select(left.df.columns), "candidates")
+            each = left.select("*", F.explode(F.array("ka", "kb")).alias("node")).withColumn("place", F.row_number().over(by_node))  # a text has BANDS * NEAR * 2 candidates at most
+            left = each.groupBy("a_node", "b_node", "ka", "kb", "equal").agg(F.min("place").alias("place"))
+        written = Written(left, "candidates")
+        if before:
             before.remove()
-        chosen.remove()
+        chosen, left = (written.df.where(f"place <= {most}"), written.df.where(f"place > {most}")) if most is not None else (written.df, None)
+        if chosen.isEmpty() and classes is not None:
+            break
+        found = Written(_verified(chosen.select("a_node", "b_node", "ka", "kb"), docs, width, similarity), "links")
         if classes is None:
-            classes = components(found.df)
+            classes = pointers(found.df)
         elif not found.df.isEmpty():
-            classes = components(found.df.unionAll(classes.select("node", "component")))
+            classes = pointers(found.df.unionAll(classes.select("node", "component")))
         found.remove()
-    left.remove()
+    written.remove()
     return classes
 
 
